@@ -1,0 +1,116 @@
+"""Shift ciphers, mirrored alphabets and reversal over a text."""
+
+from __future__ import annotations
+
+import re
+import string
+
+from gateledger.functions.text import STRETCHED, scan_form
+
+_LOWER, _UPPER = string.ascii_lowercase, string.ascii_uppercase
+_VISIBLE = "".join(map(chr, range(33, 127)))
+
+
+def _shifted(n: int) -> tuple[str, str]:
+    return _LOWER + _UPPER, _LOWER[n:] + _LOWER[:n] + _UPPER[n:] + _UPPER[:n]
+
+
+def _tables() -> dict[str, tuple[str, str] | None]:
+    tables: dict[str, tuple[str, str] | None] = {"rot13": _shifted(13), "reverse-string": None}
+    tables["atbash"] = (_LOWER + _UPPER, _LOWER[::-1] + _UPPER[::-1])
+    tables["rot47"] = (_VISIBLE, _VISIBLE[47:] + _VISIBLE[:47])
+    tables.update({f"caesar-{n}": _shifted(n) for n in range(1, 26) if n != 13})
+    return tables
+
+
+# Overlay name → (from, to) characters, None for reversal; in trial order.
+OVERLAYS = _tables()
+
+
+_MAPS = {n: None if p is None else str.maketrans(*p) for n, p in OVERLAYS.items()}
+
+
+def overlay(text: str, name: str) -> str:
+    table = _MAPS[name]
+    return text[::-1] if table is None else text.translate(table)
+
+
+# One byte per character of the clean form: ASCII as it is, letters that only
+# appear by folding a look-alike with the high bit set (a cipher leaves those
+# alone), anything else zero.
+_FOLDED = 0x80
+
+
+def _planes(text: str) -> bytes:
+    if text.isascii():
+        flat = text.encode()
+    else:
+        out = bytearray()
+        cache: dict[str, bytes] = {}
+        for ch in text:
+            code = ord(ch)
+            if code < 128:
+                out.append(code)
+                continue
+            if ch not in cache:
+                cache[ch] = bytes(
+                    ord(c) | _FOLDED if c.isascii() else 0 for c in scan_form(ch)
+                )
+            out += cache[ch]
+        flat = bytes(out)
+    return _STRETCHED_BYTES.sub(lambda run: run[0].replace(b" ", b""), flat)
+
+
+_STRETCHED_BYTES = re.compile(STRETCHED.encode())
+
+
+def _byte_tables() -> dict[str, bytes]:
+    tables = {}
+    for name, pair in OVERLAYS.items():
+        table = bytearray(range(128)) + bytearray(range(128))
+        if pair is not None:
+            for a, b in zip(*pair):
+                table[ord(a)] = ord(b)
+        lowered = bytearray(ord(chr(c).lower()) for c in table)
+        lowered[_FOLDED] = 0
+        tables[name] = bytes(lowered)
+    return tables
+
+
+_BYTE_TABLES = _byte_tables()
+
+
+def _probes(rules) -> list[tuple[tuple[bytes, ...], re.Pattern[bytes]]]:
+    probes = []
+    for rule in rules:
+        if rule.anchors:
+            flags = re.IGNORECASE | (re.MULTILINE if rule.multiline else 0)
+            probes.append(
+                (tuple(a.encode() for a in rule.anchors), re.compile(rule.pattern.encode(), flags))
+            )
+    return probes
+
+
+def promising_overlays(names: list[str], rules):
+    """Function text → overlay names whose product may match a rule.
+
+    The rules run on the byte planes of every overlay; a literal anchor test
+    comes first, so most overlays cost one table look-up per byte.
+    """
+    probes = _probes(rules)
+    tables = _BYTE_TABLES
+
+    def names_for(text: str) -> list[str]:
+        flat = _planes(text)
+        hits = []
+        for name in names:
+            plain = flat.translate(tables[name])
+            if name == "reverse-string":
+                plain = plain[::-1]
+            for anchors, pattern in probes:
+                if any(a in plain for a in anchors) and pattern.search(plain):
+                    hits.append(name)
+                    break
+        return hits
+
+    return names_for

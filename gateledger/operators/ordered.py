@@ -218,3 +218,60 @@ def _parse_state(text: str) -> State:
     import ast
 
     return ast.literal_eval(text)
+
+
+def carry_last(
+    chunks: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str
+) -> DataFrame:
+    """Latest non-null ``value`` at or before each row, over ``range_chunks``.
+
+    Windows stay inside one chunk; what a key brings along from earlier chunks
+    comes from one summary row per (chunk, key).
+    """
+    inside = (
+        Window.partitionBy("_chunk", *keys)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ends = chunks.groupBy("_chunk", *keys).agg(
+        F.max_by(
+            F.when(F.col(value).isNotNull(), F.col(value)),
+            F.when(F.col(value).isNotNull(), F.struct(*order)),
+        ).alias("_end")
+    )
+    earlier = (
+        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = ends.select(
+        "_chunk", *keys, F.last("_end", ignorenulls=True).over(earlier).alias("_carried")
+    )
+    return (
+        chunks.join(carried, ["_chunk", *keys], "left")
+        .withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried")))
+        .drop("_carried")
+    )
+
+
+def carry_sum(
+    chunks: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str
+) -> DataFrame:
+    """Inclusive running total per key over ``range_chunks``."""
+    keyed = chunks.withColumn("_v", value)
+    inside = (
+        Window.partitionBy("_chunk", *keys)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    earlier = (
+        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = (
+        keyed.groupBy("_chunk", *keys)
+        .agg(F.sum("_v").alias("_total"))
+        .select("_chunk", *keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
+    )
+    return (
+        keyed.join(carried, ["_chunk", *keys])
+        .withColumn(name, F.col("_base") + F.sum("_v").over(inside))
+        .drop("_v", "_base")
+    )

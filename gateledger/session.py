@@ -62,3 +62,16 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage at a reliable checkpoint that survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-heavy stages at least one task per core.
+
+    Inputs that already have enough partitions are left alone; small ones would
+    otherwise be read or coalesced into a single task.
+    """
+    spark = df.sparkSession
+    wanted = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *keys)
