@@ -99,14 +99,18 @@ def percentiles(
         F.max("_v").alias("_max"),
         F.min("_v").alias("_min"),
     )
+    # Below this size one rank step exceeds the slack; the bracket is the group.
+    small = F.col("_n") <= 8 * ACCURACY
     brackets = sketch.select(
         *key, "_n", "_max",
         F.explode(F.array(*[
             F.struct(
                 F.lit(p).alias("p"),
                 (F.lit(p / 100) * (F.col("_n") - 1)).alias("rank"),
-                (F.col("_min") if p / 100 - slack <= 0 else F.get("_edges", 2 * i)).alias("lo"),
-                (F.col("_max") if p / 100 + slack >= 1 else F.get("_edges", 2 * i + 1)).alias("hi"),
+                F.when(small | F.lit(p / 100 <= slack), F.col("_min"))
+                .otherwise(F.get("_edges", 2 * i)).alias("lo"),
+                F.when(small | F.lit(p / 100 >= 1 - slack), F.col("_max"))
+                .otherwise(F.get("_edges", 2 * i + 1)).alias("hi"),
             )
             for i, p in enumerate(percents)
         ])).alias("_q"),
@@ -123,7 +127,6 @@ def percentiles(
     below = F.col("_v") < F.col("_q.lo")
     inside = (F.col("_v") >= F.col("_q.lo")) & (F.col("_v") <= F.col("_q.hi"))
     under = placed.where(below).groupBy(*key, "_q.p").agg(F.sum("_c").alias("_under"))
-    # The next value above the bracket can hold the upper rank.
     span = placed.where(inside).select(*key, F.col("_q.p").alias("p"),
                                        F.col("_q.rank").alias("_rank"), "_v", "_c")
     order = Window.partitionBy(*key, "p").orderBy("_v")
