@@ -253,7 +253,7 @@ def token_bucket(spark, folder):
     rows = limits.rate_limit(
         _owned_events(spark, folder), BUCKET_CAPACITY, BUCKET_RATE
     )
-    return rows.select("owner_key", "request_id", "allowed", "tokens_remaining", "retry_after_seconds")
+    return rows.select("owner_key", "request_id", "allowed", "tokens_remaining")
 
 
 @query

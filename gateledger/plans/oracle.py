@@ -229,8 +229,7 @@ r as (select o, id, us, rn, true as ok, {_FULL - _ONE}::hugeint as tok from e wh
     from r join e on e.o = r.o and e.rn = r.rn + 1))
 """, recursive=True) + f"""
 select o as owner_key, id as request_id, ok as allowed,
-  case when ok then round(tok::double / {_ONE}, 3) end as tokens_remaining,
-  case when not ok then round((1.0 - tok::double / {_ONE}) / {BUCKET_RATE}, 3) end as retry_after_seconds
+  case when ok then round(tok::double / {_ONE}, 3) end as tokens_remaining
 from r
 """
 
