@@ -55,3 +55,15 @@ def finite_form(raw: Column) -> Column:
 def variant_kind(value: Column) -> Column:
     """Outer JSON type of a variant: OBJECT, ARRAY, STRING, BIGINT, …"""
     return F.regexp_extract(F.schema_of_variant(value), r"^([A-Z]+)", 1)
+
+
+def strict_json(raw: Column) -> Column:
+    """Variant of a text that is exactly one JSON value, else null.
+
+    The parser stops after the first value and ignores what follows.  Wrapped
+    in an array and in an object, text behind the value cannot close both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    single = F.size(F.variant_get(listed, "$", "array<variant>")) == 1
+    member = F.try_parse_json(F.concat(F.lit('{"a":'), raw, F.lit("}")))
+    return F.when(single & member.isNotNull(), F.variant_get(listed, "$[0]", "variant"))

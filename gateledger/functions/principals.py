@@ -32,13 +32,19 @@ def owner_string(owner_type: Column, owner_id: Column) -> Column:
     )
 
 
-def sanitize_principal(value: Column) -> Column:
-    """Trimmed, compatibility-folded principal, or null when it is unusable."""
-    folded = X.fold_confusables(X.normalize_unicode(X.strip_space(value), "NFKC"))
+def usable_principal(folded: Column) -> Column:
+    """Non-empty, of bounded length and free of control characters, else null."""
     bad = folded.rlike(r"[\x00-\x1f\x7f]") | (F.length(folded) > S.MAX_PRINCIPAL_CHARS)
     return F.when((F.length(folded) > 0) & ~bad, folded)
 
 
+def sanitize_principal(value: Column) -> Column:
+    """Trimmed, compatibility-folded principal, or null when it is unusable."""
+    return usable_principal(
+        X.fold_confusables(X.normalize_unicode(X.strip_space(value), "NFKC"))
+    )
+
+
 def _lookup(mapping: Mapping[str, int], key: Column) -> Column:
     pairs: list[Column] = []
     for name, number in mapping.items():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gateledger import schema as S
 from gateledger.functions import principals as P
+from gateledger.functions import text as X
 from gateledger.functions.results import (
     allow, block, first_result, quoted, redact, result, say,
 )
@@ -37,34 +38,65 @@ def unresolved_owner() -> Column:
     )
 
 
-def owner_from_headers(headers: Column) -> Column:
-    """Human header, else agent header, else policy name[@version], else null."""
+_OWNER_HEADERS = {
+    "human": "X-Commit-Owner",
+    "agent": "X-Agent-Id",
+    "name": "X-Policy-Name",
+    "version": "X-Policy-Version",
+}
 
-    def prefixed(header: str, kind: str) -> Column:
-        value = P.header_ci(headers, header)
-        rest = F.substr(value, F.lit(len(kind) + 2))
-        return make_owner(
-            kind, P.sanitize_principal(F.when(F.startswith(value, F.lit(f"{kind}:")), rest))
-        )
 
-    name_raw = P.header_ci(headers, "X-Policy-Name")
-    version_raw = P.header_ci(headers, "X-Policy-Version")
-    name = P.sanitize_principal(F.when(name_raw != "", name_raw))
-    version = P.sanitize_principal(F.when(version_raw != "", version_raw))
-    joined = F.when(version_raw == "", name).otherwise(F.concat(name, F.lit("@"), version))
-    policy = make_owner(
-        "policy", F.when(F.length(joined) <= S.MAX_PRINCIPAL_CHARS, joined)
+def owner_from_headers(df: DataFrame, headers: str = "headers", name: str = "found") -> DataFrame:
+    """Add the owner: human header, else agent, else policy name[@version], else null.
+
+    The steps are separate projections, so each header is looked up and cleaned
+    once instead of once per use.
+    """
+    keys = list(_OWNER_HEADERS)
+    raw = {f"_raw_{k}": P.header_ci(F.col(headers), h) for k, h in _OWNER_HEADERS.items()}
+    df = df.withColumns(raw)
+
+    def candidate(k: str) -> Column:
+        value = F.col(f"_raw_{k}")
+        if k in ("human", "agent"):
+            rest = F.substr(value, F.lit(len(k) + 2))
+            return F.when(F.startswith(value, F.lit(f"{k}:")), X.strip_space(rest))
+        return F.when(value != "", value)
+
+    df = df.withColumns({f"_cut_{k}": candidate(k) for k in keys})
+    df = df.withColumns({f"_form_{k}": X.normalize_unicode(F.col(f"_cut_{k}"), "NFKC") for k in keys})
+    df = df.withColumns({f"_fold_{k}": X.fold_confusables(F.col(f"_form_{k}")) for k in keys})
+    df = df.withColumns({f"_ok_{k}": P.usable_principal(F.col(f"_fold_{k}")) for k in keys})
+    joined = F.when(F.col("_raw_version") == "", F.col("_ok_name")).otherwise(
+        F.concat("_ok_name", F.lit("@"), "_ok_version")
+    )
+    df = df.withColumn("_joined", joined)
+    policy = F.when(F.length("_joined") <= S.MAX_PRINCIPAL_CHARS, F.col("_joined"))
+    owner_type = (
+        F.when(F.col("_ok_human").isNotNull(), "human")
+        .when(F.col("_ok_agent").isNotNull(), "agent")
+        .when(policy.isNotNull(), "policy")
     )
-    return F.coalesce(
-        prefixed("X-Commit-Owner", "human"), prefixed("X-Agent-Id", "agent"), policy
+    df = df.withColumn("_type", owner_type).withColumn(
+        "_id", F.coalesce("_ok_human", "_ok_agent", policy)
+    )
+    found = F.when(
+        F.col("_type").isNotNull(),
+        F.struct(
+            F.col("_type").alias("owner_type"),
+            F.col("_id").alias("owner_id"),
+            F.array(F.concat("_type", F.lit(":"), "_id")).alias("approval_chain"),
+        ),
     )
+    helpers = [f"_{p}_{k}" for p in ("raw", "cut", "form", "fold", "ok") for k in keys]
+    return df.withColumn(name, found).drop(*helpers, "_joined", "_type", "_id")
 
 
 def owner_resolution(df: DataFrame, headers: str = "headers", require: bool = True) -> DataFrame:
     """Add ``owner`` and ``owner_resolution`` (result)."""
     if "owner" not in df.columns:
         df = df.withColumn("owner", unresolved_owner())
-    df = df.withColumn("_found", owner_from_headers(F.col(headers)))
+    df = owner_from_headers(df, headers, "_found")
     known = F.col("owner.owner_type") != "unresolved"
     found = F.col("_found")
 

@@ -15,12 +15,16 @@ from gateledger.functions.crypto import (
     KeyRing, SigningKey, anonymize_owner, hmac_sha256, request_fingerprint,
 )
 from gateledger.functions.rules import rule_hits
+from gateledger.functions import results
 from gateledger.operators import (
     admission, cascade, commitment, filters, injection, inspection, joins, ledger, limits,
-    merkle, metrics, report,
+    merkle, metrics, receipts, report,
 )
 from gateledger.operators.ordered import dense_position
+from gateledger.plans import checks, gates
+from gateledger.sources import requests, streams
 from gateledger.sources import tables as T
+from gateledger.streaming import rates, runner, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -560,3 +564,288 @@ def session_summary(spark, folder):
         "user_id", F.unix_micros("created_at").alias("created_us"),
         F.unix_micros("last_seen_at").alias("last_seen_us"), "request_count", "high_water_mark",
     )
+
+
+@query
+def check_latency(spark, folder):
+    s = T.decisions(spark, folder).select(F.create_map("check_name", "latency_ms").alias("check_s"))
+    p = metrics.check_latency(s)
+    return p.select("check_name", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "max")], "count")
+
+
+@query
+def stage_latency(spark, folder):
+    s = T.decisions(spark, folder).select(F.create_map("stage", "latency_ms").alias("stage_s"))
+    p = metrics.stage_latency(s)
+    return p.select("stage", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "max")], "count")
+
+
+@query
+def latency_gate(spark, folder):
+    d = T.decisions(spark, folder).select((F.col("latency_ms") / 1000).alias("seconds"))
+    rows = gates.apply_gate(d, "seconds", gates.parse_gate("p50=40ms, p95=0.2s,p99=150000us"))
+    return rows.select("percent", F.round("limit_seconds", 9).alias("limit_seconds"),
+                       F.round("observed", 6).alias("observed"), "passed")
+
+
+@query
+def realtime_totals(spark, folder):
+    e = T.load(spark, folder, "events")
+    rows = e.select(
+        F.col("user_id").alias("session_id"), "ts",
+        F.when(F.col("event_id") % 50 == 0, "end").otherwise("checkpoint").alias("kind"),
+        (F.col("event_id") % 17).alias("close_code"),
+        F.timestamp_seconds(F.lit(1_704_067_200)).alias("started_at"),
+        *[(F.col("event_id") + i).alias(c) for i, c in enumerate(metrics.REALTIME_COUNTERS)],
+    )
+    t = metrics.realtime_totals(rows)
+    return t.select("session_id", "function_calls_count", "binary_frames_received", "close_code",
+                    "complete", F.round("duration_seconds", 3).alias("duration_seconds"))
+
+
+# --------------------------------------------------------------------------
+# Requests, replies and events
+# --------------------------------------------------------------------------
+
+
+def request_rows(spark, folder):
+    """One request per conversation turn; some bodies and headers are broken."""
+    c = T.load(spark, folder, "conversations")
+    rid = F.col("conv_id") * 100 + F.col("turn")
+    fine = F.to_json(F.struct(
+        F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"),
+        F.lit(64).alias("max_tokens"),
+    ))
+    k = rid % 12
+    body = (
+        F.when(k == 0, "").when(k == 1, "[1]").when(k == 2, F.concat(fine, F.lit("}")))
+        .when(k == 3, '{"a":NaN}').when(k == 4, F.concat(F.repeat(F.lit("["), 70), F.repeat(F.lit("]"), 70)))
+        .otherwise(fine)
+    )
+    session = F.when(rid % 5 == 1, "bad id!").otherwise(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")))
+    return c.select(
+        rid.alias("request_id"), body.cast("binary").alias("body"),
+        F.create_map(F.lit("x-session-id"), session).alias("headers"), "role", "text",
+    )
+
+
+@query
+def preflight(spark, folder):
+    _, refused = requests.read_requests(request_rows(spark, folder))
+    return refused.select("request_id", "refusal_kind")
+
+
+@query
+def refusals_by_kind(spark, folder):
+    _, refused = requests.read_requests(request_rows(spark, folder))
+    return metrics.refusals_by_kind(refused)
+
+
+@query
+def request_messages(spark, folder):
+    ok, _ = requests.read_requests(request_rows(spark, folder).drop("role", "text"))
+    m = requests.extract_messages(ok, roles=("user", "assistant"))
+    return m.select("request_id", "pos", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def scan_text(spark, folder):
+    ok, _ = requests.read_requests(request_rows(spark, folder))
+    return ok.select("request_id", F.md5(requests.scan_text(F.col("body")).cast("binary")).alias("scan_md5"))
+
+
+@query
+def reply_problems(spark, folder):
+    o = T.load(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    body = (
+        F.when(key % 7 == 1, '{"choices":7}').when(key % 7 == 2, '{"choices":[3]}').when(key % 7 == 3, "oops")
+        .when(key % 7 == 4, "[]")
+        .otherwise(F.concat(F.lit('{"choices":[{"message":{"content":"'), key.cast("string"), F.lit('"}}]}')))
+    )
+    problem = requests.reply_problem(
+        F.when(key % 11 == 0, 302).otherwise(200),
+        F.when(key % 13 == 0, "text/html").otherwise("application/json; charset=utf-8"), body,
+    )
+    return o.select(key.alias("request_id"), problem.alias("problem"),
+                    requests.response_text(body).alias("content"))
+
+
+@query
+def frame_events(spark, folder):
+    """Each event is cut over three frames at fixed offsets."""
+    e = T.load(spark, folder, "events")
+    text = F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), F.col("event_id").cast("string"),
+                    F.lit('"}}]}\r\n\r\n'))
+    parts = F.array(F.left(text, F.lit(9)), F.substring(text, 10, 30), F.substr(text, F.lit(40)))
+    frames = e.select(
+        (F.col("event_id") % 50).alias("request_id"),
+        F.floor(F.col("event_id") / 50).alias("_n"), F.posexplode(parts).alias("_i", "text"),
+    ).select("request_id", (F.col("_n") * 3 + F.col("_i")).alias("frame_idx"), "text")
+    ev = streams.assemble_frames(frames)
+    return ev.select("request_id", "event_idx", "malformed", streams.delta_text(F.col("data")).alias("content"))
+
+
+@query
+def event_strings(spark, folder):
+    e = T.load(spark, folder, "events")
+    data = F.concat(
+        F.lit('{"object":"'), F.when(F.col("event_id") % 9 == 0, "odd").otherwise("chat.completion.chunk"),
+        F.lit('","choices":[{"index":0,"delta":{"role":"assistant","content":"'), F.col("event_type"),
+        F.lit('","x":{"y":["'), F.col("user_id").cast("string"), F.lit('"]}}}]}'),
+    )
+    s = streams.collect_event_strings(e.select("event_id", data.alias("data")))
+    return s.select("event_id", F.array_join("strings", "|").alias("strings"), "abort")
+
+
+@query
+def sibling_inspection(spark, folder):
+    d = T.load(spark, folder, "events")
+    s = d.select("event_id", F.when(F.col("event_id") % 7 == 2, F.concat(F.lit("x (ts) "), "event_type"))
+                 .otherwise(F.col("event_type")).alias("value"),
+                 F.when(F.col("event_id") % 31 == 0, "too deep").alias("abort"))
+    r = inspection.inspect_sibling_strings(s)
+    return r.select("event_id", "sibling_inspection.decision",
+                    F.col("sibling_inspection")["metadata"]["smuggled_via_sibling_field"].alias("smuggled"))
+
+
+@query
+def realtime_tool_calls(spark, folder):
+    li = T.load(spark, folder, "lineitem")
+    data = F.concat(
+        F.lit('{"type":"'), F.when(F.col("l_linenumber") % 2 == 1, streams.TOOL_CALL_EVENT).otherwise("response.text.delta"),
+        F.lit('","name":"'), F.when(F.col("l_partkey") % 5 == 0, "").otherwise(F.col("l_partkey").cast("string")),
+        F.lit('","call_id":"c'), F.col("l_orderkey").cast("string"), F.lit('-'), F.col("l_linenumber").cast("string"),
+        F.lit('","arguments":'), F.when(F.col("l_partkey") % 3 == 0, '{"q":1}').otherwise('"[7]"'), F.lit("}"),
+    )
+    calls = streams.route_realtime_events(li.select(data.alias("data")))["tool_call"]
+    return streams.extract_tool_calls(calls).select("call_id", "tool_name", "arguments")
+
+
+# --------------------------------------------------------------------------
+# Pipeline, receipts and archives
+# --------------------------------------------------------------------------
+
+QUOTA = 20
+
+
+def admission_checks():
+    def quota(df):
+        return limits.hard_quota(df, QUOTA, "c_mktsegment", "request_id", "request_id").withColumn(
+            "segment_quota", F.when(F.col("allowed"), results.allow("quota ok")).otherwise(results.block("quota used up"))
+        )
+
+    return [
+        checks.Check("segment_quota", "admission", 100, table=quota, stateful=True),
+        checks.Check("owner_resolution", "admission", table=admission.owner_resolution),
+        checks.Check("classification_gate", "admission",
+                     column=lambda: admission.classification_gate(F.col("headers"))),
+    ]
+
+
+def evaluated(spark, folder):
+    seg = T.load(spark, folder, "customer").select(F.col("c_custkey").alias("request_id"), "c_mktsegment")
+    rows = header_rows(spark, folder).join(seg, "request_id")
+    return checks.evaluate(rows, admission_checks())
+
+
+@query
+def admission_pipeline(spark, folder):
+    v = F.col("verdict")
+    return evaluated(spark, folder).select(
+        "request_id", v["decision"].alias("decision"), v["reason"].alias("reason"),
+        v["metadata"]["_check_name"].alias("fired"),
+    )
+
+
+@query
+def pipeline_decisions(spark, folder):
+    df = checks.shadow(evaluated(spark, folder)).withColumn("ts", F.timestamp_seconds(F.col("request_id")))
+    rows = checks.to_decisions(df)
+    return rows.groupBy("check_name", "decision", "owner_type").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(F.get_json_object("metadata", "$.shadow") == "true", 1)).alias("shadowed"),
+    )
+
+
+@query
+def receipt_verify(spark, folder):
+    rows = sealed(spark, folder).select("entry_id", "raw_line")
+    r = receipts.issue_receipts(rows, RING)
+    n = F.substring("entry_id", 2, 20).cast("long") % 7
+    bent = (
+        F.when(n == 1, F.regexp_replace("header", "sig=.", "sig=x"))
+        .when(n == 2, F.regexp_replace("header", "key=k1", "key=k9"))
+        .when(n == 3, F.regexp_replace("header", "alg=[^;]*; ", ""))
+        .when(n == 4, F.regexp_replace("header", "alg=[^;]*", "alg=none"))
+        .when(n == 5, F.regexp_replace("header", "=v1", "=v2"))
+        .otherwise(F.col("header"))
+    )
+    v = receipts.verify_receipts(r.withColumn("header", bent), rows, RING)
+    return v.select("entry_id", "valid", "problem")
+
+
+@query
+def archive_header(spark, folder):
+    """Header of the range before a cutoff, over stand-in MACs."""
+    from gateledger.operators import archive
+
+    d = T.decisions(spark, folder).where(
+        filters.before_cutoff(F.col("ts_ns"), datetime(2024, 1, 11))
+    ).withColumn("hmac", F.sha2(F.col("seq").cast("string"), 256))
+    stats = archive.archive_stats(d)
+    root = merkle.merkle_roots(d, "chain_id", "seq", "hmac").select(F.col("root").alias("merkle_root"))
+    return stats.withColumn("_j", F.lit(1)).join(root.withColumn("_j", F.lit(1)), "_j").drop("_j")
+
+
+# --------------------------------------------------------------------------
+# Streams (run over what is there, then read back)
+# --------------------------------------------------------------------------
+
+
+@query
+def stream_token_bucket(spark, folder):
+    runner.use_durable_state(spark)
+    e = runner.table_stream(spark, folder, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("owner_key"),
+        "ts", F.col("event_id").alias("request_id"))
+    out = runner.run_available(state.live_rate_limit(e, BUCKET_CAPACITY, BUCKET_RATE))
+    return out.select("owner_key", "request_id", "allowed", "tokens_remaining")
+
+
+@query
+def stream_inspection(spark, folder):
+    runner.use_durable_state(spark)
+    c = runner.table_stream(spark, folder, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text = F.concat(
+        F.when((conv % 5 == 1) & (turn == 1), "FORN ").otherwise(""), F.col("text"),
+        F.when((conv % 5 == 1) & (turn == 0), " SECRET//NO")
+        .when((conv + turn) % 7 == 3, " (U) fouo").otherwise(""),
+    )
+    chunks = c.select(conv.alias("request_id"), turn.cast("int").alias("chunk_idx"), text.alias("text"),
+                      (100 + conv % 7 * 100).cast("int").alias("max_tokens"),
+                      (conv % 3).cast("int").alias("request_level"))
+    out = runner.run_available(state.live_inspection(chunks))
+    return out.select("request_id", "chunk_idx", "decision", "kind")
+
+
+@query
+def stream_decision_rates(spark, folder):
+    e = runner.table_stream(spark, folder, "events").select(
+        "ts", F.col("event_type").alias("decision"), F.lit("all").alias("stage"),
+        T.pick(T.CHECKS, F.col("event_id") % 5).alias("check_name"))
+    closed = rates.decision_rates(e, "1 day", "1 hour")
+    out = runner.run_available(closed)
+    return out.select(F.unix_seconds("start").alias("start_s"), "check_name", "decision", "decisions")
+
+
+@query
+def stream_chain_links(spark, folder):
+    runner.use_durable_state(spark)
+    e = runner.table_stream(spark, folder, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("chain_id"),
+        F.col("event_id").alias("seq"),
+        F.lit("").alias("prev_hmac"), F.col("event_type").alias("hmac"))
+    out = runner.run_available(state.live_chain_links(e))
+    return out.select("chain_id", "seq", "link_ok")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gateledger import schema as S
 from gateledger.functions.results import allow, annotate, block, say
+from gateledger.session import durable
 
 _STAGE_ORDER = {s: i for i, s in enumerate(S.STAGES)}
 
@@ -20,7 +21,8 @@ class Check:
 
     ``column`` returns the result struct from the row's columns.  ``table``
     instead maps a DataFrame to one with a column named like the check, for
-    checks that need joins, Python or state.  ``timeout_seconds`` is compared
+    checks that need joins or Python.  A ``stateful`` table check must not see
+    rows that earlier checks refused.  ``timeout_seconds`` is compared
     with the recorded ``<name>_seconds`` column when the rows carry one.
     """
 
@@ -30,6 +32,7 @@ class Check:
     column: Callable[[], Column] | None = None
     table: Callable[[DataFrame], DataFrame] | None = None
     timeout_seconds: float | None = None
+    stateful: bool = False
 
     def __post_init__(self) -> None:
         if not self.name:
@@ -59,12 +62,12 @@ def _timed(check: Check, outcome: Column, columns: list[str]) -> Column:
 def evaluate(
     df: DataFrame, checks: Sequence[Check], stage: str = "admission", name: str = "verdict"
 ) -> DataFrame:
-    """First non-allow result wins; later checks do not see the row.
+    """First non-allow result wins; later checks do not count.
 
     Neighbouring column checks form one expression, which stops at the first
-    refusal.  A table check runs on the rows still standing, so costly and
-    stateful checks get only what earlier ones let through; rows refused
-    before it are united with its output at the end.
+    refusal.  Before a stateful check the rows are cut durably once, so the
+    check reads the survivors and the rows refused so far are kept, without
+    evaluating everything before it twice.
     """
     df = df.withColumn(name, F.lit(None).cast(S.CHECK_RESULT))
     refused: list[DataFrame] = []
@@ -84,9 +87,11 @@ def evaluate(
                 F.when(outcome["decision"] != "allow", annotate(outcome, check.name, stage))
             )
             continue
-        df = settle(df)
-        refused.append(df.where(F.col(name).isNotNull()))
-        df = check.table(df.where(F.col(name).isNull()))
+        if check.stateful:
+            df = durable(settle(df))
+            refused.append(df.where(F.col(name).isNotNull()))
+            df = df.where(F.col(name).isNull())
+        df = check.table(df)
         outcome = _timed(check, F.col(check.name), df.columns)
         pending.append(
             F.when(outcome["decision"] != "allow", annotate(outcome, check.name, stage))

@@ -495,3 +495,150 @@ SQL["session_summary"] = """
 select user_id, epoch_us(min(ts)) as created_us, epoch_us(max(ts)) as last_seen_us,
   count(*) as request_count, max(event_id % 5) as high_water_mark from events group by 1
 """
+
+SQL["check_latency"] = _with(D) + """
+select check_name, round(quantile_cont(latency_ms, 0.5), 6) as p50, round(quantile_cont(latency_ms, 0.95), 6) as p95,
+  round(quantile_cont(latency_ms, 0.99), 6) as p99, round(max(latency_ms), 6) as max, count(*) as count
+from d group by 1
+"""
+
+SQL["stage_latency"] = _with(D, """
+x as (select s.stage, case when s.stage = d.stage then latency_ms else 0.0 end as v
+  from d, (values ('admission'), ('inspection'), ('commitment'), ('record')) s(stage))
+""") + """
+select stage, round(quantile_cont(v, 0.5), 6) as p50, round(quantile_cont(v, 0.95), 6) as p95,
+  round(quantile_cont(v, 0.99), 6) as p99, round(max(v), 6) as max, count(*) as count from x group by 1
+"""
+
+SQL["latency_gate"] = """
+select r.pct as percent, r.lim as limit_seconds,
+  round((select quantile_cont(value / 1000, [0.5, 0.95, 0.99]) from events)[r.i], 6) as observed,
+  (select quantile_cont(value / 1000, [0.5, 0.95, 0.99]) from events)[r.i] <= r.lim as passed
+from (values (1, 50, 0.04::double), (2, 95, 0.2::double), (3, 99, 0.15::double)) r(i, pct, lim)
+"""
+
+SQL["realtime_totals"] = """
+with b as (select user_id, max(ts) as until, arg_max(event_id, (event_id % 50 = 0, ts)) as best from events group by 1)
+select user_id as session_id, best as function_calls_count, best + 7 as binary_frames_received,
+  best % 17 as close_code, best % 50 = 0 as complete,
+  round((epoch_us(until) - 1704067200000000) / 1e6, 3) as duration_seconds from b
+"""
+
+_REQ = """
+q as (select conv_id * 100 + turn as request_id, (conv_id * 100 + turn) % 12 as k,
+  (conv_id * 100 + turn) % 5 = 1 as bad_session, role, text from conversations),
+p as (select *, case when bad_session then 'session_id_invalid_charset' when k = 0 then 'empty_body'
+  when k = 1 then 'non_object_body' when k = 2 then 'json_decode_error' when k = 3 then 'non_finite_float'
+  when k = 4 then 'json_too_deeply_nested' end as refusal_kind from q)
+"""
+
+SQL["preflight"] = _with(_REQ) + "select request_id, refusal_kind from p where refusal_kind is not null"
+SQL["refusals_by_kind"] = _with(_REQ) + """
+select refusal_kind, count(*) as refusals from p where refusal_kind is not null group by 1
+"""
+SQL["request_messages"] = _with(_REQ) + """
+select request_id, 0 as pos, role, md5(text) as text_md5 from p
+where refusal_kind is null and role in ('user', 'assistant')
+"""
+SQL["scan_text"] = _with(_REQ) + """
+select request_id, md5(text) as scan_md5 from p where refusal_kind is null
+"""
+
+SQL["reply_problems"] = """
+select o_orderkey as request_id,
+  case when o_orderkey % 11 = 0 then 'upstream_redirect' when o_orderkey % 13 = 0 then 'upstream_content_type_invalid'
+    when o_orderkey % 7 = 3 then 'upstream_decode_error'
+    when o_orderkey % 7 in (1, 2, 4) then 'upstream_protocol_violation' end as problem,
+  case when o_orderkey % 7 in (0, 5, 6) then o_orderkey::varchar end as content from orders
+"""
+
+SQL["frame_events"] = """
+select event_id % 50 as request_id, event_id // 50 as event_idx, false as malformed,
+  event_id::varchar as content from events
+"""
+
+SQL["event_strings"] = """
+select event_id, case when event_id % 9 = 0 then '' else event_type || '|' || user_id::varchar end as strings,
+  case when event_id % 9 = 0 then 'bad event.object' end as abort from events
+"""
+
+SQL["sibling_inspection"] = """
+select event_id, case when event_id % 31 = 0 or event_id % 7 = 2 then 'block' else 'allow' end as decision,
+  case when event_id % 31 = 0 or event_id % 7 = 2 then 'true' end as smuggled from events
+"""
+
+SQL["realtime_tool_calls"] = """
+select 'c' || l_orderkey::varchar || '-' || l_linenumber::varchar as call_id,
+  case when l_partkey % 5 = 0 then '<unknown>' else l_partkey::varchar end as tool_name,
+  case when l_partkey % 3 = 0 then '{"q":1}' else '{"_raw":[7]}' end as arguments
+from lineitem where l_linenumber % 2 = 1
+"""
+
+_PIPE = """
+g as (select c.*, cu.c_mktsegment as segment,
+  case when k = 3 then 'owner_resolution' when needs is null or holds is null or holds < needs
+    then 'classification_gate' end as early from c join customer cu on cu.c_custkey = c.request_id),
+n as (select request_id, row_number() over (partition by segment order by request_id) as rn from g where early is null),
+v as (select g.*, coalesce(early, case when n.rn > 20 then 'segment_quota' end) as fired
+  from g left join n on n.request_id = g.request_id)
+"""
+
+SQL["admission_pipeline"] = _with(_HEADERS, _PIPE) + f"""
+select request_id, case when fired is null then 'allow' else 'block' end as decision, fired,
+  case when fired is null then 'admission cleared' when fired = 'owner_resolution' then 'no commit owner could be resolved'
+    when fired = 'segment_quota' then 'quota used up'
+    when needs is null then 'unrecognized classification header value: ''' || needs_raw || ''''
+    when holds is null then 'unrecognized clearance header value: ''' || holds_raw || ''''
+    else 'caller clearance ' || {_NAMES}[holds + 1] || ' insufficient for data classification ' || {_NAMES}[needs + 1]
+  end as reason from v
+"""
+
+SQL["pipeline_decisions"] = _with(_HEADERS, _PIPE) + """
+select 'pipeline.admission' as check_name, case when fired is null then 'allow' else 'block' end as decision,
+  case k when 0 then 'human' when 1 then 'agent' when 2 then 'policy' else 'unresolved' end as owner_type,
+  count(*) as rows, count(fired) as shadowed from v group by 1, 2, 3
+"""
+
+SQL["receipt_verify"] = """
+select 'e' || event_id::varchar as entry_id, event_id % 7 in (0, 3, 6) as valid,
+  case event_id % 7 when 1 then 'bad_signature' when 2 then 'unknown_key' when 4 then 'bad_algorithm'
+    when 5 then 'bad_header' end as problem from events
+"""
+
+SQL["archive_header"] = """
+with recursive d as (select event_id as i, ts from events where ts < timestamp '2024-01-11'),
+t as (select list(sha256(sha256(i::varchar)) order by i) as hs from d
+  union all
+  select list_transform(range(0, len(hs), 2),
+    lambda i: sha256(unhex(hs[i + 1]) || unhex(hs[least(i + 2, len(hs))])))
+  from t where len(hs) > 1)
+select 1 as archive_format_version, count(*) as entry_count,
+  strftime(min_by(ts, i), '%Y-%m-%dT%H:%M:%S.%fZ') as range_start,
+  strftime(max_by(ts, i), '%Y-%m-%dT%H:%M:%S.%fZ') as range_end,
+  (select hs[1] from t where len(hs) = 1) as merkle_root from d
+"""
+
+SQL["stream_token_bucket"] = SQL["token_bucket"]
+
+SQL["stream_inspection"] = _with(_DRIFT, """
+x as (select request_id, min(chunk_idx) as abort_chunk from s where kind is not null group by 1)
+""") + """
+select s.request_id, chunk_idx, case when chunk_idx > abort_chunk then 'dropped'
+    when chunk_idx = abort_chunk then 'block' else 'allow' end as decision,
+  case when chunk_idx = abort_chunk then kind end as kind
+from s left join x on x.request_id = s.request_id
+"""
+
+SQL["stream_decision_rates"] = """
+select epoch(date_trunc('day', ts))::bigint as start_s,
+  case event_id % 5 when 0 then 'owner_resolution' when 1 then 'prompt_injection'
+    when 2 then 'classification_gate' when 3 then 'rate_limit' else 'regex_content' end as check_name,
+  event_type as decision, count(*) as decisions from events
+where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from events)
+group by 1, 2, 3
+"""
+
+SQL["stream_chain_links"] = """
+select 'u' || user_id::varchar as chain_id, event_id as seq,
+  coalesce(lag(event_type) over (partition by user_id order by event_id), '') = '' as link_ok from events
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gateledger import schema as S
-from gateledger.functions.jsontext import variant_kind
+from gateledger.functions.jsontext import strict_json, variant_kind
 from gateledger.operators.ordered import dense_position
 
 
@@ -127,7 +127,8 @@ def row_errors(document: Column, raw_line: Column) -> Column:
 
 def validate_decisions(lines: DataFrame) -> DataFrame:
     """Parse ``raw_line`` and add ``parse_error`` (null when the row is valid)."""
-    document = F.when(F.is_valid_utf8("raw_line"), F.try_parse_json("raw_line"))
+    readable = F.when(F.is_valid_utf8("raw_line"), F.col("raw_line"))
+    document = strict_json(readable)
     parsed = lines.withColumn("_document", document)
     return parsed.withColumn(
         "parse_error", F.get(row_errors(F.col("_document"), F.col("raw_line")), 0)

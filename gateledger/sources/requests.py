@@ -43,7 +43,7 @@ def refusal_kind(
                            F.try_element_at(headers, F.lit(name.lower())))
         arms.append(F.when(value.isNotNull() & ~header_value_safe(value), "header_invalid_charset"))
     readable = F.is_valid_utf8(raw)
-    document = F.try_parse_json(F.when(readable, J.finite_form(raw)))
+    document = J.strict_json(F.when(readable, J.finite_form(raw)))
     arms += [
         F.when(body.isNull() | (size == 0), "empty_body"),
         F.when(readable & J.exceeds_depth(raw, S.MAX_JSON_DEPTH), "json_too_deeply_nested"),
@@ -71,7 +71,7 @@ def read_requests(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
 
 def reply_problem(status: Column, content_type: Column, body: Column) -> Column:
     """Classify an upstream reply: redirect, content type, decoding, shape."""
-    document = F.try_parse_json(F.when(F.is_valid_utf8(body), body))
+    document = J.strict_json(F.when(F.is_valid_utf8(body), body))
     choices = F.try_variant_get(document, "$.choices", "variant")
     first = F.try_variant_get(document, "$.choices[0]", "variant")
     has_first = J.variant_kind(choices).eqNullSafe(F.lit("ARRAY")) & first.isNotNull()

@@ -98,7 +98,7 @@ def assemble_frames(frames: DataFrame) -> DataFrame:
         "request_id", F.col("_event").alias("event_idx"), data.alias("data"),
         too_long.alias("oversize"),
     ).where("data <> '[DONE]'")
-    document = F.try_parse_json("data")
+    document = J.strict_json(F.col("data"))
     malformed = F.col("oversize") | document.isNull() | (J.variant_kind(document) != "OBJECT")
     return events.withColumn("malformed", malformed).drop("oversize")
 
@@ -233,7 +233,7 @@ def extract_tool_calls(events: DataFrame, data: str = "data") -> DataFrame:
     arguments = F.try_variant_get(document, "$.arguments", "variant")
     kind = J.variant_kind(arguments)
     text = F.when(kind == "STRING", arguments.cast("string"))
-    inner = F.try_parse_json(text)
+    inner = J.strict_json(text)
     wrapped = F.concat(F.lit('{"_raw":'), F.to_json(inner), F.lit("}"))
     raw_text = F.to_json(F.create_map(F.lit("_raw"), text))
     shaped = (
