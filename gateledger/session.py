@@ -75,3 +75,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted, *keys)
+
+
+def durable_table(df: DataFrame) -> DataFrame:
+    """Write to a Parquet table in the shared folder and read it back.
+
+    Like ``durable``, but later steps read only the columns they use.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,41 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gateledger import schema as S
 from gateledger.functions.jsontext import strict_json, variant_kind
-from gateledger.operators.ordered import dense_position
+from gateledger.session import durable_table
+
+
+_BLANK = r"(?U)^[\s\x1c-\x1f]*\z"
+_SPLIT = ["chain_id", "_file", "_start"]
 
 
 def read_lines(spark: SparkSession, path: str, chain_id: str = "main") -> DataFrame:
-    """Every physical line with its 1-based number, in file order.
+    """Every physical line with its place: file, split offset, order in the task.
 
-    Only LF ends a line.  The position is dense over the whole input: splits
-    are ordered by file and offset, and each split is numbered on its own.
+    Only LF ends a line.  ``_row`` grows by one per line within a split.
     """
-    lines = (
+    return (
         spark.read.option("lineSep", "\n")
         .text(path)
         .select(
-            F.col("value").alias("raw_line"),
+            F.lit(chain_id).alias("chain_id"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_start"),
             F.monotonically_increasing_id().alias("_row"),
+            F.col("value").alias("raw_line"),
         )
     )
-    placed = dense_position(
-        lines, ["_row"], F.struct("_file", "_start"), name="_position"
-    )
-    return placed.select(
-        F.lit(chain_id).alias("chain_id"),
-        (F.col("_position") + 1).alias("line_number"),
-        "raw_line",
-    )
-
-
-_BLANK = r"(?U)^[\s\x1c-\x1f]*\z"
 
 
 def _member(document: Column, name: str) -> Column:
@@ -162,38 +155,83 @@ def _fields(document: Column, raw_line: Column) -> list[Column]:
     ]
 
 
-def split_lines(lines: DataFrame, on_malformed: str = "stop") -> tuple[DataFrame, DataFrame]:
-    """Numbered lines → (decisions, malformed).
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Parse, validate and store every line once, as a columnar table."""
+    checked = validate_decisions(
+        lines.withColumn("_blank", F.col("raw_line").rlike(_BLANK))
+    )
+    fields = _fields(F.col("_document"), F.col("raw_line"))
+    return durable_table(
+        checked.select(
+            *_SPLIT, "_row", "_blank",
+            F.when(~F.col("_blank"), F.col("parse_error")).alias("parse_error"), *fields,
+        )
+    )
+
+
+def _numbered(table: DataFrame) -> DataFrame:
+    """Add ``line_number`` and ``seq`` from per-split counts.
+
+    Lines of a split are consecutive, so a line's place is its distance from
+    the split's first line plus the lines in earlier splits: a join with one
+    row per split, no sort.  Only splits with blank or bad lines need to rank
+    their valid rows.
+    """
+    valid = (~F.col("_blank")) & F.col("parse_error").isNull()
+    splits = table.groupBy(*_SPLIT).agg(
+        F.min("_row").alias("_first"),
+        F.count(F.lit(1)).alias("_lines"),
+        F.count(F.when(valid, 1)).alias("_valid"),
+    )
+    before = (
+        Window.partitionBy("chain_id").orderBy("_file", "_start")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    places = splits.select(
+        *_SPLIT, "_first", (F.col("_lines") == F.col("_valid")).alias("_whole"),
+        F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_lines_before"),
+        F.coalesce(F.sum("_valid").over(before), F.lit(0)).alias("_valid_before"),
+    )
+    placed = table.join(places, _SPLIT).withColumn(
+        "line_number", F.col("_lines_before") + F.col("_row") - F.col("_first") + 1
+    )
+    whole = placed.where("_whole").withColumn(
+        "seq", F.col("_valid_before") + F.col("_row") - F.col("_first")
+    )
+    order = Window.partitionBy(*_SPLIT).orderBy("_row")
+    mixed = placed.where("not _whole").withColumn(
+        "seq", F.col("_valid_before") + F.sum(valid.cast("long")).over(order) - 1
+    )
+    return whole.unionByName(mixed)
+
+
+def split_lines(table: DataFrame, on_malformed: str = "stop") -> tuple[DataFrame, DataFrame]:
+    """Parsed lines → (decisions, malformed).
 
     ``stop`` keeps what precedes the first bad line of each chain; ``skip``
     keeps every valid line.  Blank lines count as lines but not as rows.
     """
     if on_malformed not in ("stop", "skip"):
         raise ValueError("on_malformed must be 'stop' or 'skip'")
-    checked = validate_decisions(lines.where(~F.col("raw_line").rlike(_BLANK)))
-    bad = checked.where("parse_error is not null")
-    good = checked.where("parse_error is null")
-    first_bad = bad.groupBy("chain_id").agg(F.min("line_number").alias("_stop"))
+    numbered = _numbered(table)
+    bad = numbered.where("not _blank and parse_error is not null")
+    good = numbered.where("not _blank and parse_error is null")
     if on_malformed == "stop":
+        stops = bad.groupBy("chain_id").agg(F.min("line_number").alias("_stop"))
         good = (
-            good.join(first_bad, "chain_id", "left")
+            good.join(stops, "chain_id", "left")
             .where("_stop is null or line_number < _stop")
             .drop("_stop")
         )
-        bad = bad.join(first_bad, "chain_id").where("line_number = _stop").drop("_stop")
-    numbered = dense_position(
-        good, ["line_number"], F.floor(F.col("line_number") / 65_536), "seq", ["chain_id"]
-    )
-    decisions = numbered.select(
-        "chain_id", "seq", *_fields(F.col("_document"), F.col("raw_line"))
-    )
-    return decisions, bad.select("chain_id", "line_number", "raw_line", "parse_error")
+        bad = bad.join(stops, "chain_id").where("line_number = _stop").drop("_stop")
+    names = ["chain_id", "seq", *[name for name, _ in S.ENTRY_FIELDS], "raw_line"]
+    return good.select(*names), bad.select("chain_id", "line_number", "raw_line", "parse_error")
 
 
 def read_decisions(
     spark: SparkSession, path: str, on_malformed: str = "stop", chain_id: str = "main"
 ) -> tuple[DataFrame, DataFrame]:
-    return split_lines(read_lines(spark, path, chain_id), on_malformed)
+    return split_lines(parse_lines(read_lines(spark, path, chain_id)), on_malformed)
 
 
 def write_decisions(df: DataFrame, path: str, mode: str = "append") -> None:
