@@ -77,7 +77,7 @@ BENIGN = {
 def verdicts(spark):
     rows = [(k, "note: " + v if k == "hex" else v) for k, v in {**ENCODED, **PLAIN, **BENIGN}.items()]
     df = spark.createDataFrame(rows, "name string, text string")
-    out = cascade.scan_with_cascade(df, "name", limits=cascade.CascadeLimits(max_depth=5))
+    out = cascade.scan_with_cascade(df, "name", limits=cascade.CascadeLimits(max_depth=8))
     return {r.name: r.prompt_injection for r in out.collect()}
 
 
