@@ -138,11 +138,14 @@ def signed_text(raw_line: Column) -> Column:
     return F.regexp_replace(raw_line, r'(?s)^(.*?),"hmac":"[0-9a-f]*"', "$1")
 
 
+_CANONICAL = json.JSONEncoder(
+    sort_keys=True, separators=(",", ":"), allow_nan=False, ensure_ascii=False
+)
+
+
 def canonical_json(value: object) -> str:
     """Compact, key-sorted, unescaped JSON; refuses NaN and infinities."""
-    return json.dumps(
-        value, sort_keys=True, separators=(",", ":"), allow_nan=False, ensure_ascii=False
-    )
+    return _CANONICAL.encode(value)
 
 
 _LINE_DEFAULTS: Mapping[str, object] = {

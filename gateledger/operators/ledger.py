@@ -27,6 +27,7 @@ from gateledger.functions.crypto import (
     signed_text,
 )
 from gateledger.operators.ordered import BLOCK_ROWS, halo_blocks, running_sum
+from gateledger.session import spread
 
 # --------------------------------------------------------------------------
 # Sealing
@@ -52,27 +53,29 @@ def canonical_parts(anchor_backend: str | None, key_id: str):
         ]
     )
 
+    quote, loads, canonical = json.encoder.encode_basestring, json.loads, canonical_json
+
     @F.pandas_udf(parts)
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         texts = []
         for row in rows.itertuples(index=False):
-            metadata = canonical_json({**json.loads(row.metadata or "{}"), **stamp})
-            chain = canonical_json(list(row.approval_chain))
+            metadata = canonical({**loads(row.metadata or "{}"), **stamp})
+            chain = "[" + ",".join(map(quote, row.approval_chain)) + "]"
             before = (
                 f'{{"approval_chain":{chain}'
-                f',"check_name":{canonical_json(row.check_name)}'
-                f',"decision":{canonical_json(row.decision)}'
-                f',"entry_id":{canonical_json(row.entry_id)}'
+                f',"check_name":{quote(row.check_name)}'
+                f',"decision":{quote(row.decision)}'
+                f',"entry_id":{quote(row.entry_id)}'
             )
             middle = (
                 f',"metadata":{metadata}'
-                f',"owner_id":{canonical_json(row.owner_id)}'
-                f',"owner_type":{canonical_json(row.owner_type)}'
+                f',"owner_id":{quote(row.owner_id)}'
+                f',"owner_type":{quote(row.owner_type)}'
                 ',"prev_hmac":"'
             )
             after = (
-                f'","reason":{canonical_json(row.reason)}'
-                f',"request_fingerprint":{canonical_json(row.request_fingerprint)}'
+                f'","reason":{quote(row.reason)}'
+                f',"request_fingerprint":{quote(row.request_fingerprint)}'
                 f',"ts_ns":{int(row.ts_ns)}}}'
             )
             texts.append((before, middle, after, metadata))
@@ -128,7 +131,7 @@ def seal(
     fields = ["approval_chain", "check_name", "decision", "entry_id", "metadata",
               "owner_id", "owner_type", "reason", "request_fingerprint", "ts_ns"]
     build = canonical_parts(anchor_backend, ring.active.key_id)
-    parts = df.withColumn(
+    parts = spread(df).withColumn(
         "_p", build(F.struct(*[F.col(f) for f in fields]))
     )
     if links is not None:
@@ -140,7 +143,9 @@ def seal(
         "approval_chain", "check_name", "decision", "reason", "request_fingerprint",
         "_p.metadata", "_p.before", "_p.middle", "_p.after",
     )
-    ordered = slim.repartition("chain_id").sortWithinPartitions("chain_id", "seq")
+    # A fixed count: coalescing small shuffles would serialise whole chains.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = slim.repartition(tasks, "chain_id").sortWithinPartitions("chain_id", "seq")
     schema = T.StructType(
         [
             *ordered.schema.fields,

@@ -22,6 +22,7 @@ from gateledger.operators import (
 )
 from gateledger.operators.ordered import dense_position
 from gateledger.plans import checks, gates
+from gateledger.session import spread
 from gateledger.sources import requests, streams
 from gateledger.sources import tables as T
 from gateledger.streaming import rates, runner, state
@@ -347,7 +348,7 @@ PII = (
 
 @query
 def redact_pii(spark, folder):
-    d = T.load(spark, folder, "documents")
+    d = spread(T.load(spark, folder, "documents"))
     df = d.withColumn("r", admission.regex_content(F.col("text"), PII))
     return df.select(
         "doc_id", "r.decision", "r.reason", F.md5(F.col("r.replacement").cast("binary")).alias("redacted_md5")
@@ -361,13 +362,13 @@ def redact_pii(spark, folder):
 
 @query
 def injection_rules(spark, folder):
-    d = T.planted_documents(spark, folder)
+    d = spread(T.planted_documents(spark, folder))
     return d.select("doc_id", F.inline(rule_hits(F.col("text")))).select("doc_id", "rule", "severity")
 
 
 @query
 def rules_hit(spark, folder):
-    d = T.planted_documents(spark, folder)
+    d = spread(T.planted_documents(spark, folder))
     hits = d.select("doc_id", rule_hits(F.col("text")).alias("hits"))
     return hits.select("doc_id", F.array_join(injection.rules_hit(F.col("hits")), ",").alias("rules"))
 

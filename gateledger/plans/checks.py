@@ -64,25 +64,29 @@ def evaluate(
 ) -> DataFrame:
     """First non-allow result wins; later checks do not count.
 
-    Neighbouring column checks form one expression, which stops at the first
-    refusal.  Before a stateful check the rows are cut durably once, so the
+    Neighbouring row-wise checks share one pass.  Before a stateful check the rows are cut durably once, so the
     check reads the survivors and the rows refused so far are kept, without
     evaluating everything before it twice.
     """
     df = df.withColumn(name, F.lit(None).cast(S.CHECK_RESULT))
     refused: list[DataFrame] = []
     pending: list[Column] = []
+    helpers: list[str] = []
 
     def settle(frame: DataFrame) -> DataFrame:
-        if not pending:
-            return frame
-        verdict = F.coalesce(F.col(name), *pending)
+        if pending:
+            frame = frame.withColumn(name, F.coalesce(F.col(name), *pending))
+        frame = frame.drop(*helpers)
         pending.clear()
-        return frame.withColumn(name, verdict)
+        helpers.clear()
+        return frame
 
     for check in (c for c in in_order(checks) if c.stage == stage):
         if check.column is not None:
-            outcome = _timed(check, check.column(), df.columns)
+            # One projection per check: its parts are then computed once.
+            df = df.withColumn(f"_{check.name}", check.column())
+            helpers.append(f"_{check.name}")
+            outcome = _timed(check, F.col(f"_{check.name}"), df.columns)
             pending.append(
                 F.when(outcome["decision"] != "allow", annotate(outcome, check.name, stage))
             )
