@@ -68,7 +68,8 @@ CONTROL_CLASS = (
 # ---------------------------------------------------------------------------
 
 _CONFUSABLE_TABLE = str.maketrans(CONFUSABLES)
-_ZERO_WIDTH_TABLE = dict.fromkeys(map(ord, ZERO_WIDTH))
+_CONFUSABLE_RE = re.compile(f"[{''.join(CONFUSABLES)}]")
+_ZERO_WIDTH_RE = re.compile(f"[{ZERO_WIDTH}]")
 _STRETCHED_RE = re.compile(STRETCHED)
 # The marks a first look must find before any mark is dropped.
 _MARK_RANGES = re.compile(
@@ -129,14 +130,22 @@ def normalize_unicode(text: Column, form: str = "NFKC") -> Column:
 def _drop_marks(text: str) -> str:
     if not _MARK_RANGES.search(text):
         return text
-    return "".join(c for c in text if not unicodedata.category(c).startswith("M"))
+    for ch in set(text):
+        if ch > "\u02ff" and unicodedata.category(ch)[0] == "M":
+            text = text.replace(ch, "")
+    return text
 
 
 def scan_form(text: str) -> str:
-    """Decompose, drop hidden characters and marks, compose, fold, re-join."""
+    """Decompose, drop hidden characters and marks, compose, fold, re-join.
+
+    Each step first looks whether it has anything to do.
+    """
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_ZERO_WIDTH_TABLE)
-        text = unicodedata.normalize("NFKC", _drop_marks(text)).translate(_CONFUSABLE_TABLE)
+        text = _ZERO_WIDTH_RE.sub("", unicodedata.normalize("NFKD", text))
+        text = unicodedata.normalize("NFKC", _drop_marks(text))
+        if _CONFUSABLE_RE.search(text):
+            text = text.translate(_CONFUSABLE_TABLE)
     return _STRETCHED_RE.sub(lambda run: run[0].replace(" ", ""), text)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gateledger import schema as S
 from gateledger.functions.results import allow, annotate, block, say
-from gateledger.session import durable
+from gateledger.session import durable_table
 
 _STAGE_ORDER = {s: i for i, s in enumerate(S.STAGES)}
 
@@ -92,7 +92,7 @@ def evaluate(
             )
             continue
         if check.stateful:
-            df = durable(settle(df))
+            df = durable_table(settle(df))
             refused.append(df.where(F.col(name).isNotNull()))
             df = df.where(F.col(name).isNull())
         df = check.table(df)

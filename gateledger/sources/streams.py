@@ -52,7 +52,8 @@ def assemble_frames(frames: DataFrame) -> DataFrame:
     A blank line ends an event, however the frames cut the text.  Frames are
     split on their own; only the piece around each frame border is put back
     together, and pieces are grouped by the event they belong to.  No response
-    is collected as a whole: the biggest group is one event.
+    is collected as a whole: the biggest group is one event, and events longer
+    than the pending cap become malformed rows without text.
     """
     lines_ended = F.regexp_replace("text", "\r\n|\r", "\n")
     # A frame may end inside CRLF or inside the blank line: look one back.
@@ -81,8 +82,16 @@ def assemble_frames(frames: DataFrame) -> DataFrame:
         "request_id", "frame_idx", (F.col("_upto") - F.col("_ends")).alias("_first"),
         F.posexplode("_parts").alias("_i", "_piece"),
     ).withColumn("_event", F.col("_first") + F.col("_i"))
+    # An event may never end; such text is counted, not collected.
+    pieces_only = exploded.where("_piece <> ''")
+    endless = (
+        pieces_only.groupBy("request_id", "_event")
+        .agg(F.sum(F.length("_piece")).alias("_chars"))
+        .where(F.col("_chars") > PENDING_CAP)
+        .select("request_id", "_event")
+    )
     whole = (
-        exploded.where("_piece <> ''")
+        pieces_only.join(endless, ["request_id", "_event"], "left_anti")
         .groupBy("request_id", "_event")
         .agg(F.array_sort(F.collect_list(F.struct("frame_idx", "_i", "_piece"))).alias("_ps"))
         .withColumn("_text", F.array_join(F.transform("_ps", lambda p: p["_piece"]), ""))
@@ -91,16 +100,18 @@ def assemble_frames(frames: DataFrame) -> DataFrame:
     data = F.array_join(
         F.transform(data_lines, lambda x: F.regexp_replace(F.substr(x, F.lit(6)), "^ ", "")), "\n"
     )
-    too_long = F.exists(F.split("_text", "\n"), lambda x: F.length(x) > LINE_CAP) | (
-        F.length("_text") > PENDING_CAP
-    )
+    too_long = F.exists(F.split("_text", "\n"), lambda x: F.length(x) > LINE_CAP)
     events = whole.where(F.size(data_lines) > 0).select(
         "request_id", F.col("_event").alias("event_idx"), data.alias("data"),
         too_long.alias("oversize"),
     ).where("data <> '[DONE]'")
     document = J.strict_json(F.col("data"))
     malformed = F.col("oversize") | document.isNull() | (J.variant_kind(document) != "OBJECT")
-    return events.withColumn("malformed", malformed).drop("oversize")
+    refused = endless.select(
+        "request_id", F.col("_event").alias("event_idx"), F.lit(None).cast("string").alias("data"),
+        F.lit(True).alias("malformed"),
+    )
+    return events.withColumn("malformed", malformed).drop("oversize").unionByName(refused)
 
 
 def delta_text(data: Column) -> Column:

@@ -38,18 +38,11 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One sample table as a file stream."""
-    from pyspark.sql import functions as F
-
     from gateledger.sources.tables import load
 
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = (
+    schema = load(spark, folder, name).schema
+    return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", f"{name}.parquet")
         .parquet(folder)
     )
-    load(spark, folder, name)  # pins the session time zone
-    for field in schema.fields:
-        if field.dataType.typeName() == "timestamp_ntz":
-            stream = stream.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    return stream
