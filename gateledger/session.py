@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -87,14 +88,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(wanted, *keys)
 
 
-def durable_table(df: DataFrame) -> DataFrame:
+def fresh_path(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+
+
+def durable_table(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write to a Parquet table in the shared folder and read it back.
 
     Like ``durable``, but later steps read only the columns they use.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    path = path or fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
