@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from gateledger.llm.packing import op9_packing
 from gateledger.llm.quality import op2_quality_rules
 from gateledger.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
 
