@@ -60,8 +60,53 @@ class _Alone(dict):
         return ids
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+class PieceEncoder:
+    """Ids of whole texts from the ids of pieces; a subclass supplies ``chunk``."""
+
+    drops_space = False
+
+    def remember(self) -> None:
+        self.words: dict[str, bytes] = {}
+        self.pieces = _Alone(self) if self.drops_space else _Spaced(self)
+
+    def chunk(self, text: str) -> bytes:
+        """Ids of a text that begins and ends at sure borders."""
+        raise NotImplementedError
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        parts = text.split(" ")
+        if self.drops_space:
+            return b"".join(map(self.pieces.__getitem__, parts))
+        first, last = parts[0], parts[-1]
+        try:
+            if len(parts) == 1:
+                return self.chunk(text)
+            if first and first[-1].isspace():
+                raise _Split
+            ids = [self.chunk(first)]
+            ids += map(self.pieces.__getitem__, parts[1:-1])
+            ids.append(self.pieces[last] if last and not last[-1].isspace() else self.chunk(" " + last))
+            return b"".join(ids)
+        except _Split:
+            return b"".join(map(self.chunk, self.bordered(parts)))
+
+    @staticmethod
+    def bordered(parts: list[str]) -> list[str]:
+        """Join pieces again where white space meets white space."""
+        out, held = [], parts[0]
+        for part in parts[1:]:
+            if held and not held[-1].isspace():
+                out.append(held)
+                held = " " + part
+            else:
+                held += " " + part
+        return [*out, held]
+
+
+class Encoder(PieceEncoder):
+    """Ids by the tokenizers library, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -80,11 +125,9 @@ class Encoder:
             self.pattern = regex.compile(public_tokenizers.PATTERN)
         else:
             raise ValueError(f"no known word borders in {path}")
-        self.words: dict[str, bytes] = {}
-        self.pieces = _Alone(self) if self.drops_space else _Spaced(self)
+        self.remember()
 
     def chunk(self, text: str) -> bytes:
-        """Ids of a text that begins and ends at sure borders."""
         if not text:
             return b""
         if max(text) >= PLAIN_BELOW:  # the library's own character classes and normal form
@@ -105,41 +148,10 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = text.split(" ")
-        if self.drops_space:
-            return b"".join(map(self.pieces.__getitem__, parts))
-        first, last = parts[0], parts[-1]
-        try:
-            if len(parts) == 1:
-                return self.chunk(text)
-            if first and first[-1].isspace():
-                raise _Split
-            ids = [self.chunk(first)]
-            ids += map(self.pieces.__getitem__, parts[1:-1])
-            ids.append(self.pieces[last] if last and not last[-1].isspace() else self.chunk(" " + last))
-            return b"".join(ids)
-        except _Split:
-            return b"".join(map(self.chunk, self.bordered(parts)))
-
-    @staticmethod
-    def bordered(parts: list[str]) -> list[str]:
-        """Join pieces again where white space meets white space."""
-        out, held = [], parts[0]
-        for part in parts[1:]:
-            if held and not held[-1].isspace():
-                out.append(held)
-                held = " " + part
-            else:
-                held += " " + part
-        return [*out, held]
-
 
-def shared(path: str) -> Encoder:
+def shared(path: str, kind: type[PieceEncoder] = Encoder) -> PieceEncoder:
     """The worker's encoder of a file; kept on the tokenizer package between tasks."""
     kept = vars(public_tokenizers).setdefault("_remembered_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if (kind.__name__, path) not in kept:
+        kept[kind.__name__, path] = kind(path)
+    return kept[kind.__name__, path]
