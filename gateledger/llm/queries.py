@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from gateledger.llm.bpetree import op7_byte_bpe
 from gateledger.llm.packing import op9_packing
 from gateledger.llm.quality import op2_quality_rules
+from gateledger.llm.tokencounts import op4_token_counts
+from gateledger.llm.tokenfiles import op3_token_files
 from gateledger.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_files": op3_token_files,
+    "op4_token_counts": op4_token_counts,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
