@@ -8,11 +8,13 @@ from gateledger.llm.licenses import op5_license_scan
 from gateledger.llm.packing import op9_packing
 from gateledger.llm.quality import op2_quality_rules
 from gateledger.llm.sigtrees import op6_jaccard_join
+from gateledger.llm.suffixindex import op1_suffix_dedup
 from gateledger.llm.tokencounts import op4_token_counts
 from gateledger.llm.tokenfiles import op3_token_files
 from gateledger.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
