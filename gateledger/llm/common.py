@@ -4,12 +4,11 @@ Every operator selects the columns it needs by name first, so further columns,
 whatever they are called, never clash with its own.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +54,20 @@ def per_text(
     return source.mapInArrow(run, full)
 
 
+def text_column(
+    make: Callable[[], Callable[[list[str]], list]], kind: str, text_col: str = "text",
+) -> Column:
+    """A column computed from each whole text (null counts as empty), beside all others."""
+
+    @F.pandas_udf(kind)
+    def column(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compute = make()
+        for part in texts:
+            yield pd.Series(list(compute(part.tolist())))
+
+    return column(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 _ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
     "boolean": pa.bool_(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()),

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateledger.llm.common import per_text, slim, table
+from gateledger.llm.common import per_text, slim, table, text_column
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -179,24 +179,26 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return scored(docs, None, 0.5, id_col, text_col)
 
 
+def judge(texts: list[str], forest: Forest | None, threshold: float) -> dict[str, list]:
+    """Counts, base rule, score and verdict of each text; features too without a forest."""
+    rows = [statistics(t) for t in texts]
+    found = {c: [r[i] for r in rows] for i, c in enumerate(COUNTS)}
+    x = np.array([r[len(COUNTS):] for r in rows], float).reshape(len(rows), len(FEATURES))
+    failed = [r[0] < 50 or 100 * r[4] > 50 * r[0] for r in rows]
+    chance = forest.probability(x) if forest else np.ones(len(rows))
+    found["base_failed"] = failed
+    found["score"] = chance
+    found["kept"] = [not f and c >= threshold for f, c in zip(failed, chance.tolist(), strict=True)]
+    if not forest:
+        found["features"] = x.tolist()
+    return found
+
+
 def scored(
     docs: DataFrame, forest: Forest | None, threshold: float, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     def make():
-        def compute(texts):
-            rows = [statistics(t) for t in texts]
-            found = {c: [r[i] for r in rows] for i, c in enumerate(COUNTS)}
-            x = np.array([r[len(COUNTS):] for r in rows], float).reshape(len(rows), len(FEATURES))
-            failed = [r[0] < 50 or 100 * r[4] > 50 * r[0] for r in rows]
-            chance = forest.probability(x) if forest else np.ones(len(rows))
-            found["base_failed"] = failed
-            found["score"] = chance
-            found["kept"] = [not f and c >= threshold for f, c in zip(failed, chance.tolist(), strict=True)]
-            if not forest:
-                found["features"] = x.tolist()
-            return found
-
-        return compute
+        return lambda texts: judge(texts, forest, threshold)
 
     schema = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"
     return per_text(docs, make, schema + ("" if forest else ", features array<double>"), id_col, text_col)
@@ -231,6 +233,11 @@ def rules(
     return scored(docs, forest, threshold, id_col, text_col).drop("features")
 
 
+def without_poor(docs: DataFrame, forest: Forest | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that the rules keep."""
+    return docs.where(text_column(lambda: lambda texts: judge(texts, forest, threshold)["kept"], "boolean", text_col))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules(docs, fit(docs, table(spark, sf_dir, "labels")))

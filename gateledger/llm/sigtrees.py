@@ -419,5 +419,18 @@ def bitmaps_of(sets: DataFrame) -> DataFrame:
     return sets.select("rep", "shingles").mapInArrow(run, "rep long, bits binary")
 
 
+def one_of_each(docs: DataFrame, num: int = 85, den: int = 100, shingle: int = 4,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose document leads its component.
+
+    Of rows that repeat an id one stays; rows with a null id stay.
+    """
+    found = jaccard_components(docs, num, den, shingle, BLOCK, id_col, text_col)
+    leading = found.where(F.col("doc_id") == F.col("component_id")).select(
+        F.col("doc_id").alias("_lead_")).distinct()
+    kept = docs.join(leading, docs[id_col].cast("long") == leading["_lead_"], "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

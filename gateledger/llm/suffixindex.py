@@ -28,13 +28,12 @@ bytes lose nothing; repeated rows of one id count as one document and get one
 result each; a null id comes before all others; an empty table gives no rows.
 """
 
-from __future__ import annotations
-
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -473,8 +472,29 @@ def compared(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, start long, end long")
 
 
-def cut_out(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> DataFrame:
-    """Apply spans: counts and the digest (or text, undecodable bytes replaced) of what is kept."""
+def usable(spans, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal spans within a text from its gathered ones."""
+    low = spans.field("start").to_numpy()
+    high = np.minimum(spans.field("end").to_numpy(), size)
+    fine = high > low
+    return merged(np.zeros(int(fine.sum()), np.int64), low[fine], high[fine])[1:]
+
+
+def without(text: bytes, low: np.ndarray, high: np.ndarray) -> bytes:
+    kept, at = [], 0
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        kept.append(text[at:a])
+        at = b
+    return b"".join([*kept, text[at:]])
+
+
+def gathered(spans: DataFrame) -> DataFrame:
+    # at most as many spans as a text of its length has suffixes
+    return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Counts of what the spans remove, and the digest of the bytes that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -482,43 +502,25 @@ def cut_out(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> DataF
                 rows = []
                 texts = part.column(1).cast(pa.binary()).to_pylist()
                 for text, found in zip(texts, part.column(2), strict=True):
-                    n = len(text)
-                    if not found.is_valid:
-                        rows.append((n, 0, 0, text))
-                        continue
-                    low = found.values.field("start").to_numpy()
-                    high = np.minimum(found.values.field("end").to_numpy(), n)
-                    fine = high > low
-                    _, low, high = merged(np.zeros(int(fine.sum()), np.int64), low[fine], high[fine])
-                    kept, at = [], 0
-                    for a, b in zip(low.tolist(), high.tolist(), strict=True):
-                        kept.append(text[at:a])
-                        at = b
-                    kept.append(text[at:])
-                    rows.append((n, int((high - low).sum()), len(low), b"".join(kept)))
-                last = ([r[3].decode("utf-8", "replace") for r in rows] if with_text
-                        else [hashlib.sha256(r[3]).hexdigest() for r in rows])
+                    none = np.zeros(0, np.int64)
+                    low, high = usable(found.values, len(text)) if found.is_valid else (none, none)
+                    rows.append((len(text), int((high - low).sum()), len(low), without(text, low, high)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0)] + [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-                    + [pa.array(last, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", name])
+                    + [pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    name = "kept_text" if with_text else "kept_sha256"
-    found = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    joined = docs.join(found, docs.doc_id == found.doc, "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {name} string")
+    found = gathered(spans)
+    joined = docs.join(found, docs.doc_id == found.doc, "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(
-    docs: DataFrame, length: int = 100, batches: int = 3, with_text: bool = False,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (or kept_text)."""
-    spark = docs.sparkSession
-    source = slim(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID).cast("long")))
+def repeated_spans(source: DataFrame, length: int, batches: int) -> DataFrame:
+    """Spans (doc, start, end) of repeated strings; ``source`` has doc_id and text."""
     shares = [k / batches for k in range(1, batches)]
     cuts = source.agg(F.percentile_approx("doc_id", shares, 10_000).alias("at")).first()["at"] if shares else []
     edges = [None, *sorted(set(cuts or [])), None]
-    index = LogIndex(spark, length)
+    index = LogIndex(source.sparkSession, length)
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         batch = source
         if low is not None:
@@ -526,9 +528,52 @@ def remove_repeats(
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
         index.add(batch)
-    return cut_out(source, index.spans(source), with_text).withColumn(
+    return index.spans(source)
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return slim(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID).cast("long")))
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = 100, batches: int = 3, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    source = numbered(docs, id_col, text_col)
+    return digests(source, repeated_spans(source, length, batches)).withColumn(
         "doc_id", F.nullif("doc_id", F.lit(NO_ID).cast("long")))
 
 
+def strip_repeats(
+    docs: DataFrame, length: int = 100, batches: int = 3, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows with all their columns, and texts without their repeated strings.
+
+    A character of which a span takes only some bytes stays.
+    """
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, found in zip(texts, spans, strict=True):
+            if text is None or found is None:
+                out.append(text)
+                continue
+            data = text.encode("utf-8", "surrogatepass")
+            ends = pa.array(list(found), pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            low, high = usable(ends, len(data))
+            inside = (np.frombuffer(data, np.uint8) & 0xC0) == 0x80
+            starts = np.flatnonzero(~np.append(inside, False))  # character starts and the end
+            low = starts[np.searchsorted(starts, low)]
+            high = np.maximum(low, starts[np.searchsorted(starts, high, "right") - 1])
+            out.append(without(data, low, high).decode("utf-8", "surrogatepass"))
+        return pd.Series(out)
+
+    found = gathered(repeated_spans(numbered(docs, id_col, text_col), length, batches)).toDF("_doc_", "_spans_")
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID).cast("long"))
+    joined = docs.join(found, key == found["_doc_"], "left")
+    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_spans_"))).select(docs.columns)
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateledger.llm.common import per_text, slim, table
+from gateledger.llm.common import per_text, slim, table, text_column
 
 # Letters of other scripts that look like Latin ones.
 LOOK_ALIKE = {
@@ -281,6 +281,16 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     )
 
 
+def without_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that are not predicted toxic."""
+
+    def make():
+        matcher = Matcher(lexicon)
+        return lambda texts: lexicon.probability(np.array([matcher.weigh(t)[1] for t in texts], float)).tolist()
+
+    return docs.where(text_column(make, "double", text_col) < 0.5)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
