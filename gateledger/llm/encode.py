@@ -30,8 +30,13 @@ class _Split(Exception):
     """A piece whose end is no sure border."""
 
 
+def led(piece: str) -> str:
+    """A piece with the white space before it; a line end stands for itself."""
+    return piece if piece[:1] == "\n" else " " + piece
+
+
 class _Spaced(dict):
-    """Ids of ' ' + piece, for pieces that end in no white space."""
+    """Ids of a piece and the white space before it, if it ends in none."""
 
     def __init__(self, owner):
         super().__init__()
@@ -42,7 +47,7 @@ class _Spaced(dict):
             raise _Split
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[piece] = self.owner.chunk(" " + piece)
+        ids = self[piece] = self.owner.chunk(led(piece))
         return ids
 
 
@@ -76,9 +81,9 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        parts = text.split(" ")
         if self.drops_space:
-            return b"".join(map(self.pieces.__getitem__, parts))
+            return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+        parts = text.replace("\n", " \n").split(" ")
         first, last = parts[0], parts[-1]
         try:
             if len(parts) == 1:
@@ -87,10 +92,10 @@ class PieceEncoder:
                 raise _Split
             ids = [self.chunk(first)]
             ids += map(self.pieces.__getitem__, parts[1:-1])
-            ids.append(self.pieces[last] if last and not last[-1].isspace() else self.chunk(" " + last))
+            ids.append(self.pieces[last] if last and not last[-1].isspace() else self.chunk(led(last)))
             return b"".join(ids)
         except _Split:
-            return b"".join(map(self.chunk, self.bordered(parts)))
+            return b"".join(map(self.chunk, self.bordered(text.split(" "))))
 
     @staticmethod
     def bordered(parts: list[str]) -> list[str]:

@@ -8,6 +8,8 @@ Each id gets the mixture of three predictions: order 0 spreads its share over
 all ids by how often they occurred, order 1 and order 2 stake theirs on the id
 that last followed the same one or two ids.  The stakes are the measured hit
 rates of slots with the same recent success, so the mixture follows the data.
+The three shares lie side by side, and an id is coded in the share of the
+highest order that names it, which spares the decoder all searches but one.
 All arithmetic is on integers; both directions run the same model.
 """
 
@@ -37,63 +39,55 @@ class Model:
         self.size = size
         self.gain = min(GAIN, (ROOM - size) // n)
         self.counts = np.zeros(size, np.int64)
-        self.last1 = np.zeros(size, np.int64)
-        self.sure1 = np.zeros(size, np.int64)
-        self.last2 = np.zeros(SLOTS, np.int64)
-        self.sure2 = np.zeros(SLOTS, np.int64)
+        # Slots hold an id and, in the last four bits, how sure they are of it.
+        self.slots = (np.zeros(size, np.int32), np.zeros(SLOTS, np.int32))
         self.tries = np.ones((2, LEVELS), np.int64) * 4
         self.hits = np.tile(np.arange(LEVELS, dtype=np.int64) // 4, (2, 1))
         self.refresh()
 
     def refresh(self) -> None:
-        self.freq = 1 + self.gain * self.counts
         self.cum = np.zeros(self.size + 1, np.int64)
-        np.cumsum(self.freq, out=self.cum[1:])
+        np.cumsum(1 + self.gain * self.counts, out=self.cum[1:])
 
     def look(self, one: np.ndarray, two: np.ndarray) -> None:
         """Predictions after ``one`` (the id before) and ``two`` (before that)."""
-        self.one = one
-        self.slot = ((two * 0x9E3779B1 + one * 0x85EBCA6B) >> 7) & (SLOTS - 1)
-        self.p1, self.c1 = self.last1[one], self.sure1[one]
-        self.p2, self.c2 = self.last2[self.slot], self.sure2[self.slot]
+        self.at = (one, ((two * 0x9E3779B1 + one * 0x85EBCA6B) >> 7) & (SLOTS - 1))
+        seen = [slots[at] for slots, at in zip(self.slots, self.at, strict=True)]
+        self.named = [v >> 4 for v in seen]
+        self.sure = [v & 15 for v in seen]
         stake = np.minimum(self.hits * 4096 // self.tries, 4096 * 29 // 32)
         stake[:, 0] = 0  # nothing seen, or wrong so far
-        self.w2 = TOTAL // 4096 * stake[1][self.c2]
-        self.w1 = (TOTAL - self.w2) // 4096 * stake[0][self.c1]
-        self.unit = (TOTAL - self.w1 - self.w2) // self.cum[-1]
-        self.total = self.unit * self.cum[-1] + self.w1 + self.w2
+        w2 = TOTAL // 4096 * stake[1][self.sure[1]]
+        w1 = (TOTAL - w2) // 4096 * stake[0][self.sure[0]]
+        self.unit = (TOTAL - w1 - w2) // self.cum[-1]
+        self.first = self.unit * self.cum[-1]  # shares: order 0, order 1, order 2
+        self.second = self.first + w1
+        self.total = self.second + w2
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = self.unit * self.cum[x] + self.w1 * (self.p1 < x) + self.w2 * (self.p2 < x)
-        return start, self.unit * self.freq[x] + self.w1 * (self.p1 == x) + self.w2 * (self.p2 == x)
+        start, end = self.unit * self.cum[x], self.unit * self.cum[x + 1]
+        by1 = (self.named[0] == x) & (self.second > self.first)
+        start, end = np.where(by1, self.first, start), np.where(by1, self.second, end)
+        by2 = (self.named[1] == x) & (self.total > self.second)
+        start, end = np.where(by2, self.second, start), np.where(by2, self.total, end)
+        return start, end - start
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """The id whose interval holds ``v``."""
-        swap = self.p1 > self.p2
-        a, b = np.where(swap, self.p2, self.p1), np.where(swap, self.p1, self.p2)
-        wa, wb = np.where(swap, self.w2, self.w1), np.where(swap, self.w1, self.w2)
-        same = a == b
-        wa, wb = np.where(same, wa + wb, wa), np.where(same, 0, wb)
-        out = np.full(len(v), -1)
-        for p, w in ((a, wa), (b, wb)):
-            inside = (out < 0) & (v >= self.unit * self.cum[p]) & (v < self.unit * self.cum[p + 1] + w)
-            out = np.where(inside, p, out)
-            v = np.where((out < 0) & (v >= self.unit * self.cum[p + 1] + w), v - w, v)
-        rest = np.flatnonzero(out < 0)
-        if len(rest):
-            out[rest] = np.searchsorted(self.cum[1:], v[rest] // self.unit[rest], "right")
+        """The id in whose share ``v`` lies."""
+        out = np.where(v < self.second, self.named[0], self.named[1]).astype(np.int64)
+        rest = np.flatnonzero(v < self.first)
+        out[rest] = np.searchsorted(self.cum[1:], v[rest] // self.unit[rest], "right")
         return out
 
     def learn(self, x: np.ndarray) -> None:
-        for k, (last, sure, at, p, c) in enumerate((
-            (self.last1, self.sure1, self.one, self.p1, self.c1),
-            (self.last2, self.sure2, self.slot, self.p2, self.c2),
-        )):
-            hit = p == x
-            self.tries[k] += np.bincount(c, minlength=LEVELS)
-            self.hits[k] += np.bincount(c[hit], minlength=LEVELS)
-            last[at] = np.where(hit | (c > 2), p, x)
-            sure[at] = np.where(hit, np.minimum(c + 2, LEVELS - 1), np.where(c > 2, c // 2, 1))
+        for k in (0, 1):
+            named, sure = self.named[k], self.sure[k]
+            hit = named == x
+            seen = np.bincount(2 * sure + hit, minlength=2 * LEVELS).reshape(LEVELS, 2)
+            self.tries[k] += seen.sum(axis=1)
+            self.hits[k] += seen[:, 1]
+            kept = (named << 4) + np.where(hit, np.minimum(sure + 2, LEVELS - 1), sure >> 1)
+            self.slots[k][self.at[k]] = np.where(hit | (sure > 2), kept, (x << 4) + 1)
         self.counts += np.bincount(x, minlength=self.size)
         self.refresh()
 
