@@ -230,15 +230,14 @@ def redact_text(text: Column, pattern: ContentPattern) -> Column:
     return F.regexp_replace(text, pattern.pattern, literal)
 
 
-def patterns_from_table(rules: DataFrame, limit: int = 1000) -> list[ContentPattern]:
+def patterns_from_table(rules: DataFrame) -> list[ContentPattern]:
     """Turn a rule table into inlined patterns.
 
-    Rules are configuration: their number is checked, and each becomes a literal
-    regex compiled once per task, so no join of texts with rules is needed.
+    Rules are configuration that people write, in the order they decide; each
+    becomes a literal regex compiled once per task.  Joining texts with rules
+    instead would pair every text with every rule.
     """
-    rows = rules.orderBy("position").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rules; split the rule table")
+    rows = rules.orderBy("position").collect()
     return [ContentPattern(r.pattern, r.action, r.replacement, r.label) for r in rows]
 
 

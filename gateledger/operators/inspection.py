@@ -142,7 +142,8 @@ def scope_drift(
     empties = sized.where("text = '' or text is null").withColumn("scan_tail", F.lit(""))
     both = tails.unionByName(empties.select(tails.columns))
     outcome = F.coalesce(
-        scope_drift_length(F.col("max_tokens"), F.col("accumulated_chars")),
+        # the whole length: a cap on the kept text must not hide a long output
+        scope_drift_length(F.col("max_tokens"), F.col("total_chars")),
         scope_drift_marker(F.col("scan_tail"), F.col("request_level"), markers, first_only),
         allow(),
     )
@@ -161,8 +162,19 @@ def regex_output(
     the grown text still holds it.
     """
     tails = marker_tails(chunks, overlap, block_rows)
-    return tails.withColumn("regex_output", regex_content(F.col("scan_tail"), patterns)).drop(
-        "scan_tail"
+    empties = chunks.where("text = '' or text is null").withColumn("scan_tail", F.lit(""))
+    own = tails.unionByName(empties.select(tails.columns)).withColumn(
+        "_own", regex_content(F.col("scan_tail"), patterns)
+    ).drop("scan_tail")
+    # One row per response at most: its first match.
+    first = own.where(F.col("_own.decision") != "allow").groupBy(KEY).agg(
+        F.min("chunk_idx").alias("_since"), F.min_by("_own", "chunk_idx").alias("_first"))
+    seen = F.when(F.col("_since") <= F.col("chunk_idx"), F.col("_first"))
+    return (
+        own.join(first, KEY, "left")
+        .withColumn("regex_output", F.coalesce(
+            F.when(F.col("_own.decision") != "allow", F.col("_own")), seen, F.col("_own")))
+        .drop("_own", "_since", "_first")
     )
 
 

@@ -112,6 +112,7 @@ def seal(
     links: DataFrame | None = None,
     segment_rows: int | None = None,
     anchor_backend: str | None = "noop",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Sign rows of each chain in ``seq`` order under the active key.
 
@@ -120,7 +121,7 @@ def seal(
     not grow with the chain, and chains run side by side.  ``segment_rows``
     cuts long chains into independent ones (``chain/000001``) so that one hot
     chain is sealed by many tasks.  ``links`` (chain_id, link) continues
-    existing chains.
+    existing chains.  ``tasks`` deals rows out before the canonical text is built.
     """
     if segment_rows:
         part = F.floor(F.col("seq") / segment_rows)
@@ -131,7 +132,7 @@ def seal(
     fields = ["approval_chain", "check_name", "decision", "entry_id", "metadata",
               "owner_id", "owner_type", "reason", "request_fingerprint", "ts_ns"]
     build = canonical_parts(anchor_backend, ring.active.key_id)
-    parts = spread(df).withColumn(
+    parts = spread(df, tasks).withColumn(
         "_p", build(F.struct(*[F.col(f) for f in fields]))
     )
     if links is not None:
@@ -144,8 +145,8 @@ def seal(
         "_p.metadata", "_p.before", "_p.middle", "_p.after",
     )
     # A fixed count: coalescing small shuffles would serialise whole chains.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = slim.repartition(tasks, "chain_id").sortWithinPartitions("chain_id", "seq")
+    chains = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = slim.repartition(chains, "chain_id").sortWithinPartitions("chain_id", "seq")
     schema = T.StructType(
         [
             *ordered.schema.fields,

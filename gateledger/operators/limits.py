@@ -70,7 +70,10 @@ def rate_limit(
         wait = None if passed or rate == 0 else round((1.0 - tokens / one) / rate, 3)
         return state, (passed, left, wait)
 
-    return ordered_fold(slim, [owner], ["us_", row_id], step, outputs).withColumn(
+    metered = ordered_fold(slim, [owner], ["us_", row_id], step, outputs)
+    free = df.where(F.col(owner).isNull()).select(
+        owner, row_id, F.unix_micros(ts).alias("us_"), F.lit(True).alias("allowed"))
+    return metered.unionByName(free, allowMissingColumns=True).withColumn(
         "ts", F.timestamp_micros("us_")
     ).drop("us_")
 
@@ -95,17 +98,21 @@ def hard_quota(
 ) -> DataFrame:
     """Only each owner's first ``capacity`` requests pass (no refill).
 
+    Rows whose owner is null pass unmetered.
+
     The filter on the row number lets Spark keep at most ``capacity`` rows per
     owner and map task before the shuffle; the last row that fits then marks
     the cut, and every row compares itself with it.
     """
     rank = F.row_number().over(Window.partitionBy(owner).orderBy(ts, row_id))
-    firsts = df.select(owner, ts, row_id).withColumn("_n", rank).where(F.col("_n") <= capacity)
+    owned = df.where(F.col(owner).isNotNull())
+    firsts = owned.select(owner, ts, row_id).withColumn("_n", rank).where(F.col("_n") <= capacity)
     cut = firsts.groupBy(owner).agg(F.max(F.struct(ts, row_id)).alias("_cut"))
     return (
-        df.join(cut, owner)
+        owned.join(cut, owner)
         .withColumn("allowed", F.struct(ts, row_id) <= F.col("_cut"))
         .drop("_cut")
+        .unionByName(df.where(F.col(owner).isNull()).withColumn("allowed", F.lit(True)))
     )
 
 
@@ -205,12 +212,18 @@ def window_usage(
     df: DataFrame, cap: int, window: str = "day", owner: str = "owner_key",
     ts: str = "ts", row_id: str = "request_id", amount: str = "amount",
 ) -> DataFrame:
-    """Observed use per owner in fixed calendar windows, and whether it is over."""
+    """Observed use per owner in fixed calendar windows, and whether it is over.
+
+    Rows whose owner is null are kept, with null use, and are never over.
+    """
     span = S.WINDOW_SECONDS[window]
     start = F.timestamp_seconds(F.floor(F.unix_seconds(ts) / span) * span)
     keyed = df.select(owner, ts, row_id, amount).withColumn("window_start", start)
-    chunks = range_chunks(keyed, [owner, "window_start", ts, row_id])
+    owned = keyed.where(F.col(owner).isNotNull())
+    chunks = range_chunks(owned, [owner, "window_start", ts, row_id])
     totals = carry_sum(
         chunks, [owner, "window_start"], [ts, row_id], F.col(amount), "used"
     ).drop("_chunk")
-    return totals.withColumn("over", F.col("used") > cap)
+    free = keyed.where(F.col(owner).isNull())
+    return totals.unionByName(free, allowMissingColumns=True).withColumn(
+        "over", F.coalesce(F.col("used") > cap, F.lit(False)))

@@ -23,6 +23,11 @@ from gateledger.operators import (
 from gateledger.operators.ordered import dense_position
 from gateledger.plans import checks, gates
 from gateledger.session import spread
+
+
+def cores(spark: SparkSession) -> int:
+    """Tasks for CPU-heavy stages over the one-file samples."""
+    return spark.sparkContext.defaultParallelism
 from gateledger.sources import requests, streams
 from gateledger.sources import tables as T
 from gateledger.streaming import rates, runner, state
@@ -348,7 +353,7 @@ PII = (
 
 @query
 def redact_pii(spark, folder):
-    d = spread(T.load(spark, folder, "documents"))
+    d = spread(T.load(spark, folder, "documents"), cores(spark))
     df = d.withColumn("r", admission.regex_content(F.col("text"), PII))
     return df.select(
         "doc_id", "r.decision", "r.reason", F.md5(F.col("r.replacement").cast("binary")).alias("redacted_md5")
@@ -362,25 +367,26 @@ def redact_pii(spark, folder):
 
 @query
 def injection_rules(spark, folder):
-    d = spread(T.planted_documents(spark, folder))
+    d = spread(T.planted_documents(spark, folder), cores(spark))
     return d.select("doc_id", F.inline(rule_hits(F.col("text")))).select("doc_id", "rule", "severity")
 
 
 @query
 def rules_hit(spark, folder):
-    d = spread(T.planted_documents(spark, folder))
+    d = spread(T.planted_documents(spark, folder), cores(spark))
     hits = d.select("doc_id", rule_hits(F.col("text")).alias("hits"))
     return hits.select("doc_id", F.array_join(injection.rules_hit(F.col("hits")), ",").alias("rules"))
 
 
 @query
 def injection_verdicts(spark, folder):
-    df = injection.scan_texts(T.planted_documents(spark, folder))
+    df = injection.scan_texts(T.planted_documents(spark, folder), parts=cores(spark))
     return df.select("doc_id", "prompt_injection.decision", "prompt_injection.reason")
 
 
 @query
 def decode_cascade(spark, folder):
+    """Decisions and rules over every layer of encoding, from whole texts."""
     df = cascade.scan_with_cascade(T.planted_documents(spark, folder), "doc_id")
     return df.select("doc_id", "prompt_injection.decision",
                      F.array_join(injection.rules_hit(F.col("hits")), ",").alias("rules"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gateledger.plans.catalog import BUCKET_CAPACITY, BUCKET_RATE, BUDGET_CAP, KEY, SEGMENT
 from gateledger.schema import LATENCY_BUCKETS
+from gateledger.functions import channels
 from gateledger.sources.plants import PLANTS
 
 D = """
@@ -359,6 +360,71 @@ v as (select p.doc_id, case w.severity when 'high' then 'block' when 'medium' th
 
 SQL["injection_verdicts"] = _with(_PLANTED, _HITS, _VERDICT) + "select doc_id, decision, reason from v"
 
+# Layers of encodings: the channels of the cascade, applied until nothing new turns up.
+
+
+def _runs(pattern: str, decode: str, glue: str = "chr(10)") -> str:
+    listed = f"list_filter(list_transform(regexp_extract_all(text, {_quote(pattern)}), lambda r: {decode}), lambda d: d is not null)"
+    return f"case when len({listed}) > 0 then array_to_string({listed}, {glue}) end"
+
+
+def _clean(raw: str) -> str:
+    plain = (
+        f"decode(unhex(array_to_string(list_filter(regexp_extract_all(hex({raw}), '..'), "
+        "lambda h: (h >= '20' and h <= '7E') or h in ('09', '0A', '0D')), '')))")
+    text = f"coalesce(regexp_replace(try(decode({raw})), '[\\x00-\\x08\\x0e-\\x1f]', '', 'g'), {plain})"
+    return f"case when regexp_matches({text}, '[ -~]{{3}}') then {text} end"
+
+
+def _in_place(mark: str, pattern: str, code: str) -> str:
+    part = f"regexp_extract(q, '^{pattern}', 1)"
+    whole = (
+        f"array_to_string(list_transform(string_split(text, {_quote(mark)}), lambda q, i: case when i = 1 then q "
+        f"when {part} <> '' then chr({code.format(part)}) || regexp_replace(q, '^{pattern}', '') "
+        f"else {_quote(mark)} || q end), '')")
+    return f"case when contains(text, {_quote(mark)}) then {whole} end"
+
+
+_B64 = "translate(rtrim(translate(r, '-_=', '+/ ')), ' ', '')"
+_B64 = f"case when len({_B64}) % 4 <> 1 then from_base64(rpad({_B64}, (ceil(len({_B64}) / 4.0) * 4)::int, '=')) end"
+_HEXED = "cast('0x' || {0} as int)"
+_CHANNELS_SQL = {
+    "base64": _runs(channels.BASE64_RUN, _clean(_B64)),
+    "hex": _runs(channels.HEX_RUN, _clean("unhex(translate(r, '= :,-', ''))")),
+    "percent": _runs(channels.PERCENT_RUN, "try(url_decode(replace(r, '+', '%2B')))", "' '"),
+    "entity": _in_place("&#", r"(\d{1,7});", "cast({0} as int)"),
+    "hex-entity": _in_place("&#x", "([0-9A-Fa-f]{{1,6}});".replace("{{", "{").replace("}}", "}"), _HEXED),
+    "escape": _in_place("\\u", "([0-9A-Fa-f]{4})", _HEXED),
+    "curly-escape": _in_place("\\u{", r"([0-9A-Fa-f]{1,6})\}", _HEXED),
+    "code-points": _runs(
+        channels.CODE_POINTS,
+        "array_to_string(list_transform(regexp_split_to_array(r, '[ ,;]+'), lambda d: chr(cast(d as int))), '')"),
+    "spread": _runs(channels.SPREAD_RUN, "translate(r, ' ', '')"),
+}
+_TURNS = ", ".join(f"({_quote(a)}, {_quote(b)})" for a, b in channels.CIPHERS.values())
+_LAYERS = f"""
+c as (select * from (values {_TURNS}) as v(signs, turned)),
+f as (
+  select doc_id, false as cipher, text from p
+  union
+  (with g as (select doc_id, cipher, text from f)
+   select doc_id, cipher, made as text
+   from (select doc_id, cipher, text, unnest([{", ".join(_CHANNELS_SQL.values())}]) as made from g)
+   where made is not null and made <> text
+   union all
+   select doc_id, true, translate(text, signs, turned) from g, c where not cipher
+   union all
+   select doc_id, true, reverse(text) from g where not cipher)
+)
+"""
+SQL["decode_cascade"] = "with recursive " + ",\n".join([_PLANTED, _LAYERS, _HITS.replace("from p where", "from f where"), """
+w as (select doc_id, min(case severity when 'high' then 0 else 1 end) as worst,
+  string_agg(distinct rule, ',' order by rule) as rules from h group by 1)
+"""]) + """
+select p.doc_id, case worst when 0 then 'block' when 1 then 'escalate' else 'allow' end as decision,
+  coalesce(rules, '') as rules from p left join w on w.doc_id = p.doc_id
+"""
+
 SQL["scanner_quality"] = _with(_PLANTED, _HITS, _VERDICT, """
 l as (select doc_id, doc_id % 11 in (0, 1, 2, 3, 4, 6) as expected,
   coalesce(['plain', 'base64', 'hex', 'rot13', 'html', 'marker', 'role'][doc_id % 11 + 1], 'none') as channel from p)

@@ -75,17 +75,13 @@ def durable(df: DataFrame) -> DataFrame:
         cached.unpersist()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy stages at least one task per core.
+def spread(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Deal rows out to ``parts`` tasks before a CPU-heavy stage; as they are without a number.
 
-    Inputs that already have enough partitions are left alone; small ones would
-    otherwise be read or coalesced into a single task.
+    The caller decides: one small file would otherwise be a single task, while a
+    large input has its splits already and needs no shuffle.
     """
-    spark = df.sparkSession
-    wanted = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, *keys)
+    return df if parts is None else df.repartition(parts, *keys)
 
 
 def fresh_path(spark: SparkSession) -> str:

@@ -55,6 +55,11 @@ def assemble_frames(frames: DataFrame) -> DataFrame:
     is collected as a whole: the biggest group is one event, and events longer
     than the pending cap become malformed rows without text.
     """
+    # Empty frames say nothing and must not stand between two that belong together.
+    held = frames.where(F.length("text") > 0).withColumn("_one", F.lit(1))
+    frames = running_sum(held, ["request_id"], "frame_idx", F.col("_one"), "_place").withColumn(
+        "frame_idx", F.col("_place") - 1
+    ).drop("_one", "_place")
     lines_ended = F.regexp_replace("text", "\r\n|\r", "\n")
     # A frame may end inside CRLF or inside the blank line: look one back.
     blocks = halo_blocks(frames.withColumn("_t", lines_ended), "frame_idx", 1, BLOCK_ROWS)
