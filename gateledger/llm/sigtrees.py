@@ -14,11 +14,11 @@ threshold t.  The join is exact up to 64-bit shingle hashes:
    hide by collisions.  Two nodes are searched together from the roots down; a
    pair is dropped when the largest overlap its bitmaps and sizes allow is below
    what t asks for, or when all leaves of both are connected already.
-4. First each set goes, with its shingles, to its most common tree, where
-   surviving leaf pairs are verified and joined on the spot, so a large group of
-   near copies yields one edge per set.  Then every tree that still holds
-   several components is searched with bitmaps alone; the surviving pairs,
-   across components only, are verified against the sets in a join.
+4. Surviving leaf pairs are verified with their sets and joined on the spot, so
+   a large group of near copies yields one edge per set and never its pairs.
+   First each set goes to its most common tree, its home.  Then the trees that
+   still hold several components from several homes are searched; pairs that
+   met at home or are connected are pruned.
 
 Trees with more than ``block`` leaves are cut into blocks; in step 4's second
 part every two blocks of a tree are searched together.
@@ -44,7 +44,8 @@ from gateledger.session import durable_table
 
 U = np.uint64
 FANOUT = 8
-BLOCK = 512
+BLOCK = 1024
+ROOM = 32  # bits of a bitmap for each shingle
 WORD_LIMIT = 1_000_000
 
 
@@ -118,8 +119,8 @@ class Router:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """One bit per shingle, eight bits of room for each; a power of two of words."""
-    bits = max(256, 1 << int(np.ceil(np.log2(8 * max(1, len(shingles))))))
+    """One bit per shingle, with room for few collisions; a power of two of words."""
+    bits = max(256, 1 << int(np.ceil(np.log2(ROOM * max(1, len(shingles))))))
     flags = np.zeros(bits, np.uint8)
     flags[(shingles & U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(U)
@@ -131,23 +132,37 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 class Tree:
-    """Leaves in an order that puts similar sets together, and the nodes above them."""
+    """Leaves in an order that puts similar sets together, and the nodes above them.
 
-    def __init__(self, maps: list[np.ndarray], sizes: np.ndarray, groups: np.ndarray, words: int):
-        grid = np.stack([folded(m, words) for m in maps])
+    A level is (bitmaps, least sizes, largest sizes, hidden shingles, component,
+    home); the last two are -1 where leaves differ.
+    """
+
+    def __init__(self, sets: list[np.ndarray], groups: np.ndarray, homes: np.ndarray, words: int):
+        grid = np.stack([folded(bitmap(s), words) for s in sets])
+        sizes = np.array([len(s) for s in sets])
         # near copies agree in most low words, so sorting by them brings them together
         self.order = np.lexsort((grid[:, 0], grid[:, min(1, words - 1)], groups))
-        grid, sizes, groups = grid[self.order], sizes[self.order], groups[self.order]
+        grid, sizes, groups, homes = (v[self.order] for v in (grid, sizes, groups, homes))
         hidden = sizes - np.bitwise_count(grid).sum(axis=1, dtype=np.int64)
-        self.levels = [(grid, sizes, sizes, hidden, groups)]
+        self.levels = [(grid, sizes, sizes, hidden, groups, homes)]
         while len(self.levels[-1][0]) > 1:
-            grid, low, high, hidden, groups = self.levels[-1]
+            grid, low, high, hidden, groups, homes = self.levels[-1]
             cut = np.arange(0, len(grid), FANOUT)
-            same = np.minimum.reduceat(groups, cut) == np.maximum.reduceat(groups, cut)
             self.levels.append((
                 np.bitwise_or.reduceat(grid, cut, axis=0), np.minimum.reduceat(low, cut),
                 np.maximum.reduceat(high, cut), np.maximum.reduceat(hidden, cut),
-                np.where(same, np.minimum.reduceat(groups, cut), -1)))  # -1: several components
+                common_value(groups, cut), common_value(homes, cut)))
+
+
+def common_value(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    least, most = np.minimum.reduceat(values, cut), np.maximum.reduceat(values, cut)
+    return np.where(least == most, least, -1)
+
+
+def words_for(sets: list[np.ndarray]) -> int:
+    """Words of the shortest bitmap; longer ones fold to it."""
+    return len(bitmap(min(sets, key=len)))
 
 
 def search(one: Tree, two: Tree, num: int, den: int, chunk: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -162,7 +177,8 @@ def search(one: Tree, two: Tree, num: int, den: int, chunk: int = 8192) -> Itera
             continue
         a, b = one.levels[k], two.levels[m]
         keep = (den * a[2][i] >= num * b[1][j]) & (den * b[2][j] >= num * a[1][i])
-        keep &= (a[4][i] < 0) | (a[4][i] != b[4][j])
+        keep &= (a[4][i] < 0) | (a[4][i] != b[4][j])  # connected already
+        keep &= (a[5][i] < 0) | (a[5][i] != b[5][j])  # met at home
         i, j = i[keep], j[keep]
         common = np.bitwise_count(a[0][i] & b[0][j]).sum(axis=1, dtype=np.int64)
         most = np.minimum(common + np.minimum(a[3][i], b[3][j]), np.minimum(a[2][i], b[2][j]))
@@ -229,7 +245,7 @@ class Union:
 
 
 def join_at_home(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges that connect the linked sets of each block, verified where they are found."""
+    """Edges that connect the linked sets of each block of a home tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_ in grouped(batches, ["tree", "part"]):
@@ -237,65 +253,57 @@ def join_at_home(rows: DataFrame, num: int, den: int) -> DataFrame:
                 continue
             ids = rows_.column("rep").to_pylist()
             sets = [np.frombuffer(s.as_buffer(), U) for s in rows_.column("shingles").combine_chunks()]
-            maps = [bitmap(s) for s in sets]
-            tree = Tree(maps, np.array([len(s) for s in sets]), np.arange(len(sets)), min(map(len, maps)))
-            union, pairs = Union(len(sets)), []
-            for i, j in search(tree, tree, num, den):
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    p, q = union.root(x), union.root(y)
-                    if p != q and links(sets[x], sets[y], num, den):
-                        union.up[q] = p
-                        pairs.append((ids[x], ids[y]))
+            alone = np.arange(len(sets))
+            tree = Tree(sets, alone, alone, words_for(sets))
+            pairs = joined(search(tree, tree, num, den), sets, alone, num, den)
             if pairs:
-                yield edges_out(pairs)
+                yield edges_out([(ids[x], ids[y]) for x, y in pairs])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs across components that the bitmaps of a tree's two blocks let through."""
+def joined(found, sets: list[np.ndarray], groups: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Verified links that connect what is not connected yet."""
+    union, pairs = Union(len(sets)), []
+    first: dict[int, int] = {}
+    for x, group in enumerate(groups.tolist()):
+        union.up[x] = first.setdefault(group, x)
+    for i, j in found:
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = union.root(x), union.root(y)
+            if p != q and links(sets[x], sets[y], num, den):
+                union.up[q] = p
+                pairs.append((x, y))
+    return pairs
+
+
+def join_across(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges between components, from every two blocks of the trees left open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_ in grouped(batches, ["tree", "one", "two"]):
-            ids = rows_.column("rep").to_numpy()
-            sizes = rows_.column("n").to_numpy()
-            groups = rows_.column("component").to_numpy()
+            ids = rows_.column("rep").to_pylist()
+            groups = np.unique(rows_.column("component").to_numpy(), return_inverse=True)[1]
+            homes = np.unique(rows_.column("home").to_numpy(), return_inverse=True)[1]
             part = rows_.column("part").to_numpy()
-            if len(ids) < 2 or (groups == groups[0]).all():
+            if not groups.any() or not homes.any():
                 continue
-            maps = [np.frombuffer(s.as_buffer(), U) for s in rows_.column("bits").combine_chunks()]
-            words = min(map(len, maps))
-
-            def tree(at, maps=maps, sizes=sizes, groups=groups, words=words):
-                return Tree([maps[i] for i in at], sizes[at], groups[at], words)
-
             one, two = rows_.column("one")[0].as_py(), rows_.column("two")[0].as_py()
-            left = np.flatnonzero(part == one)
-            right = left if one == two else np.flatnonzero(part == two)
+            left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
             if not len(left) or not len(right):
                 continue
-            first = tree(left)
-            second = first if one == two else tree(right)
-            for i, j in search(first, second, num, den):
-                a, b = ids[left[i]], ids[right[j]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            sets = [np.frombuffer(s.as_buffer(), U) for s in rows_.column("shingles").combine_chunks()]
+            words = words_for(sets)
+            first = Tree([sets[i] for i in left], groups[left], homes[left], words)
+            second = first if one == two else Tree([sets[i] for i in right], groups[right], homes[right], words)
+            found = ((left[i], right[j]) for i, j in search(first, second, num, den))
+            pairs = joined(found, sets, groups, num, den)
+            if pairs:
+                yield edges_out([(ids[x], ids[y]) for x, y in pairs])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = ([np.frombuffer(s.as_buffer(), U) for s in batch.column(k)] for k in (2, 3))
-            keep = [links(x, y, num, den) for x, y in zip(left, right, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left"))
-    b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-
-
 def routed(docs: DataFrame, num: int, den: int, shingle: int) -> DataFrame:
     """Set size, digest and trees of each document."""
 
@@ -369,29 +377,32 @@ def jaccard_components(
 
     near = trees.select("rep").distinct()
     sets = durable_table(sets_of(source.join(near.withColumnRenamed("rep", "doc_id"), "doc_id"), shingle))
-    home = trees.groupBy("rep").agg(
-        F.max(F.struct("held", "tree")).alias("home")).select("rep", "home.tree", "home.held")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("held") / block))
+    home = durable_table(
+        trees.groupBy("rep").agg(F.max(F.struct("held", "tree")).alias("home"))
+        .select("rep", "home.tree", "home.held").select("rep", "tree", part.alias("part")))
     at_home = (
-        home.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("held") / block)))
-        .join(sets.select("rep", "shingles"), "rep")
-        .select("tree", "part", "rep", "shingles")
+        home.join(sets, "rep").select("tree", "part", "rep", "shingles")
         .repartition("tree", "part").sortWithinPartitions("tree", "part"))
     first = durable_table(join_at_home(at_home, num, den))
 
     known = components(first).withColumnRenamed("id", "rep")
-    placed = durable_table(trees.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    stands = home.select("rep", F.xxhash64("tree", "part").alias("home")).join(known, "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+    placed = durable_table(trees.select("tree", "held", "rep").join(stands, "rep"))
     open_ = placed.groupBy("tree").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tree")
-    parts = F.ceil(F.col("held") / block)
+        F.min("component").alias("c1"), F.max("component").alias("c2"),
+        F.min("home").alias("h1"), F.max("home").alias("h2"),
+    ).where("c1 < c2 and h1 < h2").select("tree")
     pairs = (
         placed.join(open_, "tree")
-        .withColumn("part", F.pmod(F.xxhash64("rep"), parts))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        .withColumn("part", part)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("held") / block) - 1)))
         .withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
-        .join(bitmaps_of(sets), "rep")
-        .select("tree", "one", "two", "part", "rep", "n", "component", "bits")
+        .join(sets, "rep")
+        .select("tree", "one", "two", "part", "rep", "component", "home", "shingles")
         .repartition("tree", "one", "two").sortWithinPartitions("tree", "one", "two"))
-    second = durable_table(verified(durable_table(candidates(pairs, num, den).distinct()), sets, num, den))
+    second = durable_table(join_across(pairs, num, den))
     final = components(first.union(second)).withColumnRenamed("id", "rep")
     named = classes.join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return marked.select("doc_id", "n", "digest").join(named, "digest", "left").select(
@@ -410,15 +421,6 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, "rep long, shingles binary")
 
 
-def bitmaps_of(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps = [bitmap(np.frombuffer(s.as_buffer(), U)).tobytes() for s in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["rep", "bits"])
-
-    return sets.select("rep", "shingles").mapInArrow(run, "rep long, bits binary")
-
-
 def one_of_each(docs: DataFrame, num: int = 85, den: int = 100, shingle: int = 4,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose document leads its component.
