@@ -160,7 +160,7 @@ def unsigned(spark, folder):
 
 
 def sealed(spark, folder):
-    return ledger.seal(unsigned(spark, folder), RING, segment_rows=SEGMENT)
+    return ledger.seal(unsigned(spark, folder), RING, segment_rows=SEGMENT, tasks=cores(spark))
 
 
 @query
@@ -235,12 +235,24 @@ def merkle_root(spark, folder):
 
 @query
 def key_eras(spark, folder):
-    return ledger.key_eras(sealed(spark, folder), RING)
+    """Every third segment under the retired key, and some rows edited after sealing."""
+    old_ring, rows = KeyRing(OLD_KEY, [KEY]), unsigned(spark, folder)
+    old = F.floor(F.col("seq") / SEGMENT) % 3 == 1
+    both = ledger.seal(rows.where(~old), RING, segment_rows=SEGMENT).unionByName(
+        ledger.seal(rows.where(old), old_ring, segment_rows=SEGMENT))
+    edited = F.when(
+        F.col("seq") % 97 == 11, F.regexp_replace("raw_line", '"reason":"rule', '"reason":"RULE')
+    ).otherwise(F.col("raw_line"))
+    return ledger.key_eras(both.withColumn("raw_line", edited), RING)
 
 
 @query
 def anchor_coverage(spark, folder):
-    return ledger.anchor_coverage(sealed(spark, folder))
+    """Some anchors failed, and some rows carry none."""
+    rows = sealed(spark, folder)
+    failed = F.regexp_replace("metadata", '"success": ?true', '"success":false')
+    changed = F.when(F.col("seq") % 10 == 3, failed).when(F.col("seq") % 10 == 7, F.lit("{}")).otherwise(F.col("metadata"))
+    return ledger.anchor_coverage(rows.withColumn("metadata", changed))
 
 
 # --------------------------------------------------------------------------
@@ -315,7 +327,7 @@ def header_rows(spark, folder):
     )
     return c.select(
         key.alias("request_id"), headers.alias("headers"),
-        F.concat_ws(".", T.pick(("127", "100", "10", "8"), key % 4),
+        F.concat_ws(".", T.pick(("127", "100", "10", "8"), F.floor(key / 4) % 4),
                     (F.col("c_nationkey") * 5 % 256).cast("string"),
                     F.lit("0"), (key % 256).cast("string")).alias("client_ip"),
     )
@@ -450,6 +462,16 @@ def scope_drift(spark, folder):
                      F.col("scope_drift")["metadata"]["marker_level"].alias("marker_level"))
 
 
+@query
+def regex_output(spark, folder):
+    """A pattern over the growing response: empty chunks stay, a match holds on."""
+    rows = T.load(spark, folder, "conversations").select(
+        F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("chunk_idx"),
+        F.when(F.col("turn") % 5 == 3, F.lit("")).otherwise(F.col("text")).alias("text"))
+    found = inspection.regex_output(rows, [admission.ContentPattern(r"th[a-z]{2}re", "block", label="word")])
+    return found.select("request_id", "chunk_idx", "regex_output.decision", "regex_output.reason")
+
+
 @query
 def first_abort(spark, folder):
     df = inspection.scope_drift(chunk_rows(spark, folder))

@@ -208,12 +208,16 @@ from t where len(hs) = 1
 """
 
 SQL["key_eras"] = f"""
-select 'main/' || lpad((event_id // {SEGMENT})::varchar, 8, '0') as chain_id, 'k1' as key_id,
+select 'main/' || lpad((event_id // {SEGMENT})::varchar, 8, '0') as chain_id,
+  case event_id // {SEGMENT} % 3 when 1 then 'k0' else 'k1' end as key_id,
   count(*) as rows, min(event_id % {SEGMENT}) as first_seq, max(event_id % {SEGMENT}) as last_seq,
-  0 as failed from events group by 1
+  count(*) filter (event_id % {SEGMENT} % 97 = 11) as failed from events group by 1, 2
 """
 
-SQL["anchor_coverage"] = "select 'noop' as backend, true as success, count(*) as rows from events"
+SQL["anchor_coverage"] = f"""
+select case event_id % {SEGMENT} % 10 when 7 then 'none' else 'noop' end as backend,
+  event_id % {SEGMENT} % 10 not in (3, 7) as success, count(*) as rows from events group by 1, 2
+"""
 
 _ONE = 10**12
 _RATE = round(BUCKET_RATE * 1_000_000)
@@ -274,7 +278,7 @@ c as (select c_custkey as request_id, c_custkey % 4 as k, c_name, c_mktsegment,
   case c_custkey % 6 when 0 then 'UNCLASS' when 1 then 'CUI' when 2 then 'SECRET' when 3 then 'TS'
     when 4 then 'TS/SCI' else 'BOGUS' end as holds_raw,
   nullif(c_nationkey % 6, 5) as needs, nullif(c_custkey % 6, 5) as holds,
-  case c_custkey % 4 when 0 then '127' when 1 then '100' when 2 then '10' else '8' end
+  case c_custkey // 4 % 4 when 0 then '127' when 1 then '100' when 2 then '10' else '8' end
     || '.' || ((c_nationkey * 5) % 256)::varchar || '.0.' || (c_custkey % 256)::varchar as ip
   from customer)
 """
@@ -290,10 +294,18 @@ select request_id, case k when 0 then 'human' when 1 then 'agent' when 2 then 'p
 from c
 """
 
-SQL["loopback_trust"] = _with(_HEADERS) + """
-select request_id, case k when 0 then 'human' when 1 then 'agent' when 2 then 'policy' else 'unresolved' end as owner_type,
-  case k when 0 then c_name when 1 then 'a' || request_id::varchar when 2 then pol else '' end as owner_id,
-  '' as reason from c
+SQL["loopback_trust"] = _with(_HEADERS, """
+t as (select *, case when k <> 3 then null when ip like '127.%' then 'internal-loopback'
+    when ip like '100.%' and octet between 64 and 127 then 'internal-tailnet:' || ip
+    when ip like '10.%' and octet < 64 then 'internal-trusted:' || ip end as trusted
+  from (select *, split_part(ip, '.', 2)::int as octet from c))
+""") + """
+select request_id, case when trusted is not null then 'policy'
+    when k = 0 then 'human' when k = 1 then 'agent' when k = 2 then 'policy' else 'unresolved' end as owner_type,
+  case when trusted is not null then trusted
+    when k = 0 then c_name when k = 1 then 'a' || request_id::varchar when k = 2 then pol else '' end as owner_id,
+  case when trusted is not null then 'trusted source ' || ip || '; resolved to policy:' || trusted else '' end as reason
+from t
 """
 
 _NAMES = "['UNCLASS', 'CUI', 'SECRET', 'TS', 'TS_SCI']"
@@ -475,6 +487,13 @@ s as (select request_id, chunk_idx, least(chars, 1048576) as accumulated_chars,
     when text <> '' and level > request_level then 'classification' end as kind, level from b)
 """
 
+SQL["regex_output"] = """
+select request_id, chunk_idx, case when hit then 'block' else 'allow' end as decision,
+  case when hit then 'pattern ''word'' matched' else '' end as reason
+from (select conv_id as request_id, turn as chunk_idx, regexp_matches(string_agg(case when turn % 5 = 3 then '' else text end, '')
+  over (partition by conv_id order by turn), 'th[a-z]{2}re') as hit from conversations)
+"""
+
 SQL["scope_drift"] = _with(_DRIFT) + """
 select request_id, chunk_idx, accumulated_chars,
   case when kind is null then 'allow' else 'block' end as decision, kind,
