@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gateledger import schema as S
 from gateledger.functions.crypto import anonymize_owner
 from gateledger.functions.principals import owner_string
-from gateledger.operators.filters import current_window, prior_window
+from gateledger.operators.filters import current_window, effective_check, prior_window
 
 FIRING = ("block", "escalate", "redact")
 
@@ -71,6 +71,13 @@ def decision_distribution(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+def by_effective_check(df: DataFrame) -> DataFrame:
+    """Name the check that fired instead of its stage wrapper, where rows tell it."""
+    if "metadata" not in df.columns:
+        return df
+    return df.withColumn("check_name", effective_check(F.col("check_name"), F.col("metadata")))
+
+
 def check_firings(df: DataFrame, approximate: bool = False, order: str = "seq") -> DataFrame:
     """Firings, distinct owners and per-decision counts per check.
 
@@ -79,7 +86,7 @@ def check_firings(df: DataFrame, approximate: bool = False, order: str = "seq")
     """
     owners = F.approx_count_distinct(_owner()) if approximate else F.count_distinct(_owner())
     return (
-        df.where(F.col("decision").isin(*FIRING))
+        by_effective_check(df).where(F.col("decision").isin(*FIRING))
         .groupBy("check_name")
         .agg(
             F.count(F.lit(1)).alias("firings"),
@@ -146,7 +153,7 @@ def window_deltas(
     All prior counts are used; ``parity`` counts a check outside the prior top
     ``n`` as new.
     """
-    tagged = _both_windows(df, now, since).where(F.col("decision").isin(*FIRING))
+    tagged = _both_windows(by_effective_check(df), now, since).where(F.col("decision").isin(*FIRING))
     counts = tagged.groupBy("check_name").agg(
         F.count(F.when(F.col("_current"), 1)).alias("current"),
         F.count(F.when(~F.col("_current"), 1)).alias("prior"),

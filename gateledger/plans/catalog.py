@@ -22,7 +22,8 @@ from gateledger.operators import (
 )
 from gateledger.operators.ordered import dense_position
 from gateledger.plans import checks, gates
-from gateledger.session import spread
+from gateledger.session import fresh_path, spread
+from gateledger.sources import decisions
 
 
 def cores(spark: SparkSession) -> int:
@@ -168,6 +169,53 @@ def seal_segments(spark, folder):
     return sealed(spark, folder).select("chain_id", "seq", "prev_hmac", "hmac")
 
 
+def written_log(spark, folder):
+    """Sealed rows as a log of text lines, some of them damaged or blank."""
+    rows, n = sealed(spark, folder), F.substring("entry_id", 2, 20).cast("long")
+    line = (
+        F.when(n % 50 == 7, F.concat(F.lit("{cut"), F.substring("raw_line", 9, 40)))
+        .when(n % 50 == 9, F.regexp_replace("raw_line", '"decision":"[a-z]+"', '"decision":"maybe"'))
+        .when(n % 50 == 11, F.lit("  ")).otherwise(F.col("raw_line"))
+    )
+    path = fresh_path(spark)
+    decisions.write_decisions(rows.withColumn("raw_line", line), path)
+    return path
+
+
+@query
+def log_round_trip(spark, folder):
+    """Rows of a written log as they are read back, in order, bad lines skipped."""
+    good, _ = decisions.read_decisions(spark, written_log(spark, folder), "skip")
+    return good.select("seq", "entry_id", "owner_type", "owner_id", "decision", "check_name",
+                       F.col("ts_ns").cast("long").alias("ts_ns"), F.length("hmac").alias("mac_length"))
+
+
+@query
+def malformed_lines(spark, folder):
+    _, bad = decisions.read_decisions(spark, written_log(spark, folder), "skip")
+    return bad.select("line_number", "parse_error")
+
+
+@query
+def unknown_keys(spark, folder):
+    """Rows sealed under a key that the verifier's ring lacks."""
+    rows = unsigned(spark, folder)
+    old = F.floor(F.col("seq") / SEGMENT) % 3 == 1
+    both = ledger.seal(rows.where(~old), RING, segment_rows=SEGMENT).unionByName(
+        ledger.seal(rows.where(old), KeyRing(OLD_KEY), segment_rows=SEGMENT))
+    return ledger.unknown_key_rows(both, KeyRing(KEY)).select("entry_id", "key_id")
+
+
+@query
+def effective_top_checks(spark, folder):
+    """Stage wrappers recorded the decisions; the checks behind them are counted."""
+    d = T.decisions(spark, folder)
+    inner = F.to_json(F.create_map(F.lit("_check_name"), F.col("check_name")))
+    wrapped = d.withColumn("metadata", F.when(F.col("seq") % 3 < 2, inner).otherwise(F.lit("{}"))).withColumn(
+        "check_name", F.concat(F.lit("pipeline."), "stage"))
+    return report.top_checks(wrapped)
+
+
 def tampered(spark, folder):
     """Every 97th row edited, every 389th dropped, positions made dense again."""
     rows = sealed(spark, folder).withColumn("_n", F.substring("entry_id", 2, 20).cast("long"))

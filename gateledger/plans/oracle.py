@@ -207,6 +207,33 @@ select 'main' as chain_id, (select count(*) from events) as leaf_count, hs[1] as
 from t where len(hs) = 1
 """
 
+SQL["log_round_trip"] = _with(D, """
+o as (select *, row_number() over (order by seq) - 1 as n from d),
+k as (select * from o where n % 50 not in (7, 9, 11))
+""") + """
+select row_number() over (order by n) - 1 as seq, 'e' || n::varchar as entry_id, owner_type, owner_id, decision,
+  check_name, ts_ns, 64 as mac_length from k
+"""
+
+SQL["malformed_lines"] = _with(D, "o as (select row_number() over (order by seq) - 1 as n from d)") + """
+select n + 1 as line_number, case n % 50 when 7 then 'invalid JSON' else 'unknown decision' end as parse_error
+from o where n % 50 in (7, 9)
+"""
+
+SQL["unknown_keys"] = _with(D) + f"select 'e' || seq::varchar as entry_id, 'k0' as key_id from d where seq // {SEGMENT} % 3 = 1"
+
+SQL["effective_top_checks"] = _with(D, """
+e as (select *, case when seq % 3 < 2 then check_name else 'pipeline.' || stage end as named from d)
+""") + """
+select named as check_name, count(*) as firings,
+  count(distinct owner_type || ':' || owner_id) as distinct_owners,
+  count(*) filter (decision = 'block') as blocks,
+  count(*) filter (decision = 'escalate') as escalates,
+  count(*) filter (decision = 'redact') as redacts
+from e where decision <> 'allow' group by 1
+order by firings desc, min(seq) limit 10
+"""
+
 SQL["key_eras"] = f"""
 select 'main/' || lpad((event_id // {SEGMENT})::varchar, 8, '0') as chain_id,
   case event_id // {SEGMENT} % 3 when 1 then 'k0' else 'k1' end as key_id,
