@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateledger.session import durable_table
+from gateledger.llm.common import settled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,16 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     and the rewriting joins have one row per node on one side, so a node with
     very many edges can be split.  Every round is written to the shared folder.
     """
-    edges = durable_table(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
+    edges = settled(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
     maps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        step = durable_table(
+        step = settled(
             both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
             .select("id", F.least("id", "least").alias("to")))
         maps.append(step)
         left, right = step.toDF("a", "to_a"), step.toDF("b", "to_b")
-        edges = durable_table(
+        edges = settled(
             edges.join(left, "a").join(right, "b")
             .select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
             .where(F.col("a") != F.col("b")).distinct())

@@ -16,12 +16,13 @@ threshold t.  The join is exact up to 64-bit shingle hashes:
    what t asks for, or when all leaves of both are connected already.
 4. Surviving leaf pairs are verified with their sets and joined on the spot, so
    a large group of near copies yields one edge per set and never its pairs.
-   First each set goes to its most common tree, its home.  Then the trees that
-   still hold several components from several homes are searched; pairs that
-   met at home or are connected are pruned.
+   Each set names its most common tree; the trees so named are searched with all
+   their members, which covers nearly every pair that shares a tree.  The other
+   trees then list, without sets, the pairs that met in none of those and are
+   not connected; the few that are left are verified in a join.
 
-Trees with more than ``block`` leaves are cut into blocks; in step 4's second
-part every two blocks of a tree are searched together.
+Trees with more than ``block`` leaves are cut into blocks, and every two blocks
+of a tree are searched together.
 
 Defined results: null and empty texts have no shingles and are alone; repeated
 rows have equal sets and so one component; ties and extra columns have no
@@ -38,9 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateledger.llm.common import slices, slim, table
+from gateledger.llm.common import settled, slices, slim, table
 from gateledger.llm.components import components
-from gateledger.session import durable_table
 
 U = np.uint64
 FANOUT = 8
@@ -134,30 +134,23 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 class Tree:
     """Leaves in an order that puts similar sets together, and the nodes above them.
 
-    A level is (bitmaps, least sizes, largest sizes, hidden shingles, component,
-    home); the last two are -1 where leaves differ.
+    A level is (bitmaps, least sizes, largest sizes, hidden shingles).
     """
 
-    def __init__(self, sets: list[np.ndarray], groups: np.ndarray, homes: np.ndarray, words: int):
+    def __init__(self, sets: list[np.ndarray], words: int):
         grid = np.stack([folded(bitmap(s), words) for s in sets])
         sizes = np.array([len(s) for s in sets])
         # near copies agree in most low words, so sorting by them brings them together
-        self.order = np.lexsort((grid[:, 0], grid[:, min(1, words - 1)], groups))
-        grid, sizes, groups, homes = (v[self.order] for v in (grid, sizes, groups, homes))
+        self.order = np.lexsort((grid[:, 0], grid[:, min(1, words - 1)]))
+        grid, sizes = grid[self.order], sizes[self.order]
         hidden = sizes - np.bitwise_count(grid).sum(axis=1, dtype=np.int64)
-        self.levels = [(grid, sizes, sizes, hidden, groups, homes)]
+        self.levels = [(grid, sizes, sizes, hidden)]
         while len(self.levels[-1][0]) > 1:
-            grid, low, high, hidden, groups, homes = self.levels[-1]
+            grid, low, high, hidden = self.levels[-1]
             cut = np.arange(0, len(grid), FANOUT)
             self.levels.append((
                 np.bitwise_or.reduceat(grid, cut, axis=0), np.minimum.reduceat(low, cut),
-                np.maximum.reduceat(high, cut), np.maximum.reduceat(hidden, cut),
-                common_value(groups, cut), common_value(homes, cut)))
-
-
-def common_value(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    least, most = np.minimum.reduceat(values, cut), np.maximum.reduceat(values, cut)
-    return np.where(least == most, least, -1)
+                np.maximum.reduceat(high, cut), np.maximum.reduceat(hidden, cut)))
 
 
 def words_for(sets: list[np.ndarray]) -> int:
@@ -177,8 +170,6 @@ def search(one: Tree, two: Tree, num: int, den: int, chunk: int = 8192) -> Itera
             continue
         a, b = one.levels[k], two.levels[m]
         keep = (den * a[2][i] >= num * b[1][j]) & (den * b[2][j] >= num * a[1][i])
-        keep &= (a[4][i] < 0) | (a[4][i] != b[4][j])  # connected already
-        keep &= (a[5][i] < 0) | (a[5][i] != b[5][j])  # met at home
         i, j = i[keep], j[keep]
         common = np.bitwise_count(a[0][i] & b[0][j]).sum(axis=1, dtype=np.int64)
         most = np.minimum(common + np.minimum(a[3][i], b[3][j]), np.minimum(a[2][i], b[2][j]))
@@ -244,66 +235,97 @@ class Union:
         return x
 
 
-def join_at_home(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges that connect the linked sets of each block of a home tree."""
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (tree, held, rep, ...) dealt to every pair of blocks of their tree."""
+    parts = F.ceil(F.col("held") / block)
+    return (
+        rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        .withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
+        .drop("other", "held")
+    )
+
+
+def together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("tree", "one", "two").sortWithinPartitions("tree", "one", "two")
+
+
+def sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the two blocks of a group; the same twice for one block."""
+    part = rows.column("part").to_numpy()
+    one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
+    left = np.flatnonzero(part == one)
+    return left, left if one == two else np.flatnonzero(part == two)
+
+
+def join_trees(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges that connect the linked sets of every two blocks, verified where they are found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows_ in grouped(batches, ["tree", "part"]):
-            if rows_.num_rows < 2:
+        for rows_ in grouped(batches, ["tree", "one", "two"]):
+            left, right = sides(rows_)
+            if rows_.num_rows < 2 or not len(left) or not len(right):
                 continue
             ids = rows_.column("rep").to_pylist()
             sets = [np.frombuffer(s.as_buffer(), U) for s in rows_.column("shingles").combine_chunks()]
-            alone = np.arange(len(sets))
-            tree = Tree(sets, alone, alone, words_for(sets))
-            pairs = joined(search(tree, tree, num, den), sets, alone, num, den)
+            words = words_for(sets)
+            one = Tree([sets[i] for i in left], words)
+            two = one if left is right else Tree([sets[i] for i in right], words)
+            union, pairs = Union(len(sets)), []
+            for i, j in search(one, two, num, den):
+                for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
+                    p, q = union.root(x), union.root(y)
+                    if p != q and links(sets[x], sets[y], num, den):
+                        union.up[q] = p
+                        pairs.append((ids[x], ids[y]))
             if pairs:
-                yield edges_out([(ids[x], ids[y]) for x, y in pairs])
+                yield edges_out(pairs)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def joined(found, sets: list[np.ndarray], groups: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Verified links that connect what is not connected yet."""
-    union, pairs = Union(len(sets)), []
-    first: dict[int, int] = {}
-    for x, group in enumerate(groups.tolist()):
-        union.up[x] = first.setdefault(group, x)
-    for i, j in found:
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = union.root(x), union.root(y)
-            if p != q and links(sets[x], sets[y], num, den):
-                union.up[q] = p
-                pairs.append((x, y))
-    return pairs
-
-
-def join_across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges between components, from every two blocks of the trees left open."""
+def not_met(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a tree across components that met in no searched tree and fit by size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_ in grouped(batches, ["tree", "one", "two"]):
-            ids = rows_.column("rep").to_pylist()
-            groups = np.unique(rows_.column("component").to_numpy(), return_inverse=True)[1]
-            homes = np.unique(rows_.column("home").to_numpy(), return_inverse=True)[1]
-            part = rows_.column("part").to_numpy()
-            if not groups.any() or not homes.any():
-                continue
-            one, two = rows_.column("one")[0].as_py(), rows_.column("two")[0].as_py()
-            left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
-            if not len(left) or not len(right):
+            left, right = sides(rows_)
+            groups = rows_.column("component").to_numpy()
+            if not len(left) or not len(right) or (groups == groups[0]).all():
                 continue
-            sets = [np.frombuffer(s.as_buffer(), U) for s in rows_.column("shingles").combine_chunks()]
-            words = words_for(sets)
-            first = Tree([sets[i] for i in left], groups[left], homes[left], words)
-            second = first if one == two else Tree([sets[i] for i in right], groups[right], homes[right], words)
-            found = ((left[i], right[j]) for i, j in search(first, second, num, den))
-            pairs = joined(found, sets, groups, num, den)
-            if pairs:
-                yield edges_out([(ids[x], ids[y]) for x, y in pairs])
+            ids, sizes = rows_.column("rep").to_numpy(), rows_.column("n").to_numpy()
+            met = rows_.column("met").to_pylist()
+            owner = np.repeat(np.arange(len(met)), [len(m) for m in met])
+            place = np.unique([t for m in met for t in m], return_inverse=True)[1]
+            member = np.zeros((len(met), place.max() + 1), np.float32)
+            member[owner, place] = 1
+            open_ = member[left] @ member[right].T == 0
+            open_ &= groups[left][:, None] != groups[right][None, :]
+            small = np.minimum(sizes[left][:, None], sizes[right][None, :])
+            open_ &= den * small >= num * np.maximum(sizes[left][:, None], sizes[right][None, :])
+            if left is right:
+                open_ = np.triu(open_, 1)
+            i, j = np.nonzero(open_)
+            if len(i):
+                a, b = ids[left[i]], ids[right[j]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = ([np.frombuffer(s.as_buffer(), U) for s in batch.column(k)] for k in (2, 3))
+            keep = [links(x, y, num, den) for x, y in zip(left, right, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left"))
+    b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
 def routed(docs: DataFrame, num: int, den: int, shingle: int) -> DataFrame:
     """Set size, digest and trees of each document."""
 
@@ -361,51 +383,42 @@ def jaccard_components(
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     source = slim(docs, id_col, text_col)
-    marked = durable_table(routed(source, num, den, shingle))
+    marked = settled(routed(source, num, den, shingle))
     classes = marked.where(F.col("n") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # The representative's row carries the trees; of equal ids any row will do.
     own = marked.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n", "digest", "trees")
     reps = own.join(classes, [own.digest == classes.digest, own.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id"])
     rows = reps.select(F.explode("trees").alias("tree"), F.col("doc_id").alias("rep"), "n").distinct()
-    shared = durable_table(shared_trees(rows))
+    shared = settled(shared_trees(rows))
 
     # Of trees with the same sets one is enough.
     sizes = shared.groupBy("tree").agg(
         F.count("*").alias("held"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
     single = sizes.groupBy("held", "mark").agg(F.min("tree").alias("tree")).select("tree", "held")
-    trees = durable_table(shared.join(single, "tree"))
+    trees = settled(shared.join(single, "tree"))
 
     near = trees.select("rep").distinct()
-    sets = durable_table(sets_of(source.join(near.withColumnRenamed("rep", "doc_id"), "doc_id"), shingle))
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("held") / block))
-    home = durable_table(
-        trees.groupBy("rep").agg(F.max(F.struct("held", "tree")).alias("home"))
-        .select("rep", "home.tree", "home.held").select("rep", "tree", part.alias("part")))
-    at_home = (
-        home.join(sets, "rep").select("tree", "part", "rep", "shingles")
-        .repartition("tree", "part").sortWithinPartitions("tree", "part"))
-    first = durable_table(join_at_home(at_home, num, den))
+    sets = settled(sets_of(source.join(near.withColumnRenamed("rep", "doc_id"), "doc_id"), shingle))
+    named = trees.groupBy("rep").agg(F.max(F.struct("held", "tree")).alias("home")).select("home.tree").distinct()
+    searched = settled(trees.join(named, "tree").select("tree", "held", "rep"))
+    first = settled(join_trees(together(
+        in_blocks(searched, block).join(sets, "rep").select("tree", "one", "two", "part", "rep", "shingles")), num, den))
 
     known = components(first).withColumnRenamed("id", "rep")
-    stands = home.select("rep", F.xxhash64("tree", "part").alias("home")).join(known, "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
-    placed = durable_table(trees.select("tree", "held", "rep").join(stands, "rep"))
-    open_ = placed.groupBy("tree").agg(
-        F.min("component").alias("c1"), F.max("component").alias("c2"),
-        F.min("home").alias("h1"), F.max("home").alias("h2"),
-    ).where("c1 < c2 and h1 < h2").select("tree")
-    pairs = (
-        placed.join(open_, "tree")
-        .withColumn("part", part)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("held") / block) - 1)))
-        .withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
-        .join(sets, "rep")
-        .select("tree", "one", "two", "part", "rep", "component", "home", "shingles")
-        .repartition("tree", "one", "two").sortWithinPartitions("tree", "one", "two"))
-    second = durable_table(join_across(pairs, num, den))
+    # at most the trees of one set
+    met = searched.groupBy("rep").agg(F.collect_list("tree").alias("met"))
+    others = settled(
+        trees.join(named, "tree", "left_anti").join(known, "rep", "left")
+        .withColumn("component", F.coalesce("component", "rep")))
+    open_ = others.groupBy("tree").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tree")
+    left_over = settled(not_met(together(
+        in_blocks(others.join(open_, "tree"), block).join(met, "rep")
+        .select("tree", "one", "two", "part", "rep", "n", "component", "met")), num, den).distinct())
+    second = settled(verified(left_over, sets, num, den))
     final = components(first.union(second)).withColumnRenamed("id", "rep")
-    named = classes.join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return marked.select("doc_id", "n", "digest").join(named, "digest", "left").select(
+    leads = classes.join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    return marked.select("doc_id", "n", "digest").join(leads, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
