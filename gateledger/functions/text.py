@@ -10,6 +10,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,10 +72,7 @@ _CONFUSABLE_TABLE = str.maketrans(CONFUSABLES)
 _CONFUSABLE_RE = re.compile(f"[{''.join(CONFUSABLES)}]")
 _ZERO_WIDTH_RE = re.compile(f"[{ZERO_WIDTH}]")
 _STRETCHED_RE = re.compile(STRETCHED)
-# The marks a first look must find before any mark is dropped.
-_MARK_RANGES = re.compile(
-    "[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]"
-)
+_MARKS_RE = regex.compile(r"\p{M}+")
 
 
 def is_ascii(text: Column) -> Column:
@@ -99,8 +97,7 @@ def strip_markdown_split(text: Column) -> Column:
 
 
 def strip_combining_marks(text: Column) -> Column:
-    first_look = text.rlike(_MARK_RANGES.pattern)
-    return F.when(first_look, F.regexp_replace(text, r"\p{M}", "")).otherwise(text)
+    return F.regexp_replace(text, r"\p{M}", "")
 
 
 def control_char_clean(text: Column) -> Column:
@@ -127,23 +124,11 @@ def normalize_unicode(text: Column, form: str = "NFKC") -> Column:
     return F.coalesce(apply_form(F.when(~is_ascii(text), text)), text)
 
 
-def _drop_marks(text: str) -> str:
-    if not _MARK_RANGES.search(text):
-        return text
-    for ch in set(text):
-        if ch > "\u02ff" and unicodedata.category(ch)[0] == "M":
-            text = text.replace(ch, "")
-    return text
-
-
 def scan_form(text: str) -> str:
-    """Decompose, drop hidden characters and marks, compose, fold, re-join.
-
-    Each step first looks whether it has anything to do.
-    """
+    """Decompose, drop hidden characters and marks, compose, fold, re-join."""
     if not text.isascii():
         text = _ZERO_WIDTH_RE.sub("", unicodedata.normalize("NFKD", text))
-        text = unicodedata.normalize("NFKC", _drop_marks(text))
+        text = unicodedata.normalize("NFKC", _MARKS_RE.sub("", text))
         if _CONFUSABLE_RE.search(text):
             text = text.translate(_CONFUSABLE_TABLE)
     return _STRETCHED_RE.sub(lambda run: run[0].replace(" ", ""), text)
