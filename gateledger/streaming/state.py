@@ -139,7 +139,6 @@ def live_inspection(
     )
     levels = {m.lower(): n for m, n in markers.items()}
     hidden = dict.fromkeys(map(ord, ZERO_WIDTH))
-    cap_chars = S.ACCUMULATED_TEXT_CHARS
 
     def step(state, row):
         import unicodedata
@@ -151,7 +150,7 @@ def live_inspection(
         total += len(text)
         kind = None
         limit = int(row.max_tokens * 4 * 1.1) if row.max_tokens and row.max_tokens > 0 else None
-        if limit is not None and min(total, cap_chars) > limit:
+        if limit is not None and total > limit:
             kind = "token_count"
         elif text:
             seen = unicodedata.normalize("NFKC", (tail + text).translate(hidden))
