@@ -21,8 +21,8 @@ threshold t.  The join is exact up to 64-bit shingle hashes:
    trees then list, without sets, the pairs that met in none of those and are
    not connected; the few that are left are verified in a join.
 
-Trees with more than ``block`` leaves are cut into blocks, and every two blocks
-of a tree are searched together.
+Trees beyond ``block`` shingles or LEAVES sets are cut into blocks, and every two
+blocks of a tree are searched together, so a task's memory has a bound.
 
 Defined results: null and empty texts have no shingles and are alone; repeated
 rows have equal sets and so one component; ties and extra columns have no
@@ -44,7 +44,8 @@ from gateledger.llm.components import components
 
 U = np.uint64
 FANOUT = 8
-BLOCK = 1024
+BLOCK = 2_000_000  # shingles of a block
+LEAVES = 4096  # sets of a block
 ROOM = 32  # bits of a bitmap for each shingle
 WORD_LIMIT = 1_000_000
 
@@ -236,13 +237,13 @@ class Union:
 
 
 def in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (tree, held, rep, ...) dealt to every pair of blocks of their tree."""
-    parts = F.ceil(F.col("held") / block)
+    """Rows (tree, held, weight, rep, ...) dealt to every pair of blocks of their tree."""
+    parts = F.greatest(F.ceil(F.col("weight") / block), F.ceil(F.col("held") / LEAVES))
     return (
         rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
         .withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
-        .drop("other", "held")
+        .drop("other", "held", "weight")
     )
 
 
@@ -393,14 +394,14 @@ def jaccard_components(
 
     # Of trees with the same sets one is enough.
     sizes = shared.groupBy("tree").agg(
-        F.count("*").alias("held"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
-    single = sizes.groupBy("held", "mark").agg(F.min("tree").alias("tree")).select("tree", "held")
+        F.count("*").alias("held"), F.sum("n").alias("weight"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    single = sizes.groupBy("held", "weight", "mark").agg(F.min("tree").alias("tree")).select("tree", "held", "weight")
     trees = settled(shared.join(single, "tree"))
 
     near = trees.select("rep").distinct()
     sets = settled(sets_of(source.join(near.withColumnRenamed("rep", "doc_id"), "doc_id"), shingle))
     named = trees.groupBy("rep").agg(F.max(F.struct("held", "tree")).alias("home")).select("home.tree").distinct()
-    searched = settled(trees.join(named, "tree").select("tree", "held", "rep"))
+    searched = settled(trees.join(named, "tree").select("tree", "held", "weight", "rep"))
     first = settled(join_trees(together(
         in_blocks(searched, block).join(sets, "rep").select("tree", "one", "two", "part", "rep", "shingles")), num, den))
 

@@ -144,7 +144,7 @@ def near_copies(seed, n=160):
     return texts
 
 
-@pytest.mark.parametrize("seed,block", [(1, 512), (2, 4)])
+@pytest.mark.parametrize("seed,block", [(1, sigtrees.BLOCK), (2, 200)])
 def test_join_equals_brute_force(spark, seed, block):
     texts = near_copies(seed) + [(1000 + d, t) for d, t in odd_texts()]
     found = as_dict(sigtrees.jaccard_components(awkward(spark, texts), block=block))
