@@ -6,12 +6,13 @@ to every direction within the cap: tuples are extended block by block and
 dropped as soon as the best remaining blocks cannot reach the threshold, so
 directions far away are never looked at.  Vectors that share a direction are
 compared exactly, in double precision; a pair that shares several is counted in
-the first of them.  Caps get narrower as the number of vectors grows, so the
+the first of them, where the linked pairs are joined on the spot.  Caps get narrower as the number of vectors grows, so the
 number of vectors in a cap stays about ``per_cap``.
 
 Exact copies are one class with a multiplicity, so they are never paired.  A
 cap with more than ``block`` classes is cut into blocks, and pairs of blocks are
-separate groups; only sums per vector and one edge per vector leave a group.
+separate groups; only sums per vector and one edge per vector, which together
+connect what the group's links connect, leave a group.
 
 Defined results: null, zero and non-finite vectors (or ones with null
 components) link with nothing and are kept; vectors of different lengths never
@@ -122,7 +123,7 @@ def caps_of(classes: DataFrame, sizes: dict[int, int], caps: float, per_cap: flo
 
 
 def compare(rows: DataFrame, cosine: float) -> DataFrame:
-    """Per group: each class's linked vectors (a sum), and its least linked class."""
+    """Per group: each class's linked vectors (a sum), and the least class its links lead to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -161,9 +162,8 @@ def compare(rows: DataFrame, cosine: float) -> DataFrame:
                 continue
             linked &= ~met_before(filters[low:high], int(filter_of[low]), linked)
             at = np.flatnonzero(linked.any(axis=1))
-            part = linked[at]
-            least = np.where(part, ids[low:high][None, :], np.iinfo(np.int64).max).min(axis=1)
-            out.append((ids[low:high][at], part @ copies[low:high], least))
+            own_ids = ids[low:high][at]
+            out.append((own_ids, linked[at] @ copies[low:high], least_reached(linked[np.ix_(at, at)], own_ids)))
         if out:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["rep", "n_links", "least"])
@@ -171,6 +171,24 @@ def compare(rows: DataFrame, cosine: float) -> DataFrame:
     return rows.mapInArrow(run, "rep long, n_links long, least long")
 
 
+def least_reached(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id that each row's links lead to, over any number of steps."""
+    least, open_ = ids.copy(), np.ones(len(ids), bool)
+    for start in range(len(ids)):
+        if not open_[start]:
+            continue
+        reached = np.zeros(len(ids), bool)
+        reached[start] = True
+        front = np.array([start])
+        while len(front):
+            fresh = linked[front].any(axis=0) & ~reached
+            reached |= fresh
+            front = np.flatnonzero(fresh)
+        least[reached] = ids[reached].min()
+        open_ &= ~reached
+    return least
+
+
 def met_before(filters: list[list[int]], now: int, linked: np.ndarray) -> np.ndarray:
     """Pairs that share a filter below ``now``."""
     rows = np.flatnonzero(linked.any(axis=1))

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gateledger.llm import capfilters, components, sigtrees, suffixindex
 from tests.llm.helpers import as_dict, awkward, odd_texts, words
@@ -239,3 +240,54 @@ def test_groups_of_near_and_equal_vectors(spark, block):
         assert (found[i].n_links, found[i].component_id, found[i].kept) == (0, i, True)
     assert (found[906].n_links, found[907].n_links, found[907].component_id) == (1, 1, 906)
     assert capfilters.link_vectors(vector_table(spark, [])).count() == 0
+
+
+def chained(rng, lengths, dims, cosine):
+    """Paths of vectors; each is linked with the ones beside it and with no others."""
+    out = []
+    for n in lengths:
+        v = rng.standard_normal(dims)
+        for _ in range(n):
+            v = v / np.linalg.norm(v)
+            out.append(v)
+            step = rng.standard_normal(dims)
+            step -= (step @ v) * v
+            v = cosine * v + np.sqrt(1 - cosine**2) * step / np.linalg.norm(step)
+    return np.array(out)
+
+
+def least_by_links(links):
+    least, was = np.arange(len(links)), None
+    while was is None or (least != was).any():
+        was = least
+        least = np.minimum(was, np.where(links, was[None, :], len(links)).min(axis=1))
+    return least
+
+
+def test_chains_and_bridged_groups_are_one_component(spark):
+    rng = np.random.default_rng(8)
+    dims = 64
+    # two groups around the ends of one link: nothing but that link joins them
+    ends = chained(rng, [2] * 10, dims, 0.96)
+    groups = np.concatenate([e + 0.004 * rng.standard_normal((6, dims)) for e in ends])
+    x = np.concatenate([chained(rng, [4] * 30 + [9] * 10, dims, 0.97), groups])
+    x = x[rng.permutation(len(x))]
+    links = exact_links(x)
+    want = least_by_links(links)
+    # with so many caps a vector no pair is missed, so components must be exact
+    found = as_dict(capfilters.link_vectors(vector_table(spark, x), caps=200.0, per_cap=40.0), "vec_id")
+    assert [found[i].n_links for i in range(len(x))] == links.sum(axis=1).tolist()
+    assert [found[i].component_id for i in range(len(x))] == want.tolist()
+    assert [found[i].kept for i in range(len(x))] == (want == np.arange(len(x))).tolist()
+
+
+def test_a_path_whose_ends_come_first_stays_whole(spark):
+    # the links are 1-10, 10-11 and 11-2, all met in one filter
+    x = chained(np.random.default_rng(2), [4], 64, 0.96)
+    rows = [(7, 0, 0, 0, i, 1, v.tobytes(), [7]) for i, v in zip((1, 10, 11, 2), x, strict=True)]
+    group = spark.createDataFrame(
+        rows, "filter long, one long, two long, block long, rep long, copies long, unit binary, filters array<long>")
+    edges = capfilters.compare(group.coalesce(1), 0.95)
+    assert {r.rep: r.n_links for r in edges.collect()} == {1: 1, 2: 1, 10: 2, 11: 2}
+    joined = components.components(edges.select(F.col("rep").alias("a"), F.col("least").alias("b"))).collect()
+    assert {r.id: r.component for r in joined} == {1: 1, 2: 1, 10: 1, 11: 1}
