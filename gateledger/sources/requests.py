@@ -172,21 +172,16 @@ def message_text(body: Column, roles: Sequence[str] | None = None) -> Column:
     return F.array_join(message_texts(body, roles), "\n")
 
 
-MAX_LEAF_DEPTH, MAX_LEAVES = 32, 2048
-
-
-def string_leaves(node: object, depth: int = 0) -> Iterable[str]:
-    """String values of a parsed JSON tree, to a fixed depth."""
-    if depth > MAX_LEAF_DEPTH:
-        return
-    if isinstance(node, str):
-        yield node
-    elif isinstance(node, dict):
-        for value in node.values():
-            yield from string_leaves(value, depth + 1)
-    elif isinstance(node, list):
-        for value in node:
-            yield from string_leaves(value, depth + 1)
+def string_leaves(node: object) -> Iterable[str]:
+    """String values of a parsed JSON tree in document order, at any depth."""
+    waiting = [node]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, str):
+            yield node
+        elif isinstance(node, (dict, list)):
+            members = list(node.values()) if isinstance(node, dict) else node
+            waiting += reversed(members)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
