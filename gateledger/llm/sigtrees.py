@@ -13,7 +13,7 @@ threshold t.  The join is exact up to 64-bit shingle hashes:
    the OR of the bitmaps, the range of sizes and the most shingles that bitmaps
    hide by collisions.  Two nodes are searched together from the roots down; a
    pair is dropped when the largest overlap its bitmaps and sizes allow is below
-   what t asks for, or when all leaves of both are connected already.
+   what t asks for.  (Leaf pairs connected already are listed, but not verified.)
 4. Surviving leaf pairs are verified with their sets and joined on the spot, so
    a large group of near copies yields one edge per set and never its pairs.
    Each set names its most common tree; the trees so named are searched with all
