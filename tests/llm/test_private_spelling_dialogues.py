@@ -119,7 +119,7 @@ def plain_disclosing(texts, threshold, contexts):
 
 def test_disclosing_terms(spark):
     rng = random.Random(8)
-    common = ["river", "stone", "table", "green", "window", "mercury", "mercantile", "paper", "zeb"]
+    common = ["river", "stone", "table", "green", "window", "mercury", "mercenary", "paper", "zeb"]
     texts = []
     for i in range(60):
         near = " ".join(rng.sample(common, 3))
@@ -141,7 +141,7 @@ def test_disclosing_terms(spark):
         assert ("uxanto" not in clean[i]) and "Doe@" not in clean[i] and "mercedonia" not in clean[i]
         if not any(t in (text or "").lower() for t in [*got, "@", "+1"]):
             assert clean[i] == (text or "")
-    assert clean[60].splitlines()[1].count("[EMAIL] merce* office") == 1
+    assert clean[60].splitlines()[1].startswith("[EMAIL] merce* ", clean[60].splitlines()[1].index("[EMAIL]"))
 
 
 def test_no_private_data(spark):
