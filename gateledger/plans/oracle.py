@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from gateledger.plans.catalog import BUCKET_CAPACITY, BUCKET_RATE, BUDGET_CAP, KEY, SEGMENT
 from gateledger.schema import LATENCY_BUCKETS
-from gateledger.functions import channels
 from gateledger.sources.plants import PLANTS
 
 D = """
@@ -428,21 +427,31 @@ _B64 = "translate(rtrim(translate(r, '-_=', '+/ ')), ' ', '')"
 _B64 = f"case when len({_B64}) % 4 <> 1 then from_base64(rpad({_B64}, (ceil(len({_B64}) / 4.0) * 4)::int, '=')) end"
 _HEXED = "cast('0x' || {0} as int)"
 _CHANNELS_SQL = {
-    "base64": _runs(channels.BASE64_RUN, _clean(_B64)),
-    "hex": _runs(channels.HEX_RUN, _clean("unhex(translate(r, '= :,-', ''))")),
-    "percent": _runs(channels.PERCENT_RUN, "try(url_decode(replace(r, '+', '%2B')))", "' '"),
+    "base64": _runs("[A-Za-z0-9+/_-]{16,}={0,2}", _clean(_B64)),
+    "hex": _runs("(=?[0-9A-Fa-f][0-9A-Fa-f][ :,-]?){8,}", _clean("unhex(translate(r, '= :,-', ''))")),
+    "percent": _runs(r"[^\s%]*(%[0-9A-Fa-f][0-9A-Fa-f][^\s%]*)+", "try(url_decode(replace(r, '+', '%2B')))", "' '"),
     "entity": _in_place("&#", r"(\d{1,7});", "cast({0} as int)"),
     "hex-entity": _in_place("&#x", "([0-9A-Fa-f]{{1,6}});".replace("{{", "{").replace("}}", "}"), _HEXED),
     "escape": _in_place("\\u", "([0-9A-Fa-f]{4})", _HEXED),
     "curly-escape": _in_place("\\u{", r"([0-9A-Fa-f]{1,6})\}", _HEXED),
     "code-points": _runs(
-        channels.CODE_POINTS,
+        r"(\d\d\d?[ ,;]+){7,}\d\d\d?",
         "array_to_string(list_transform(regexp_split_to_array(r, '[ ,;]+'), lambda d: chr(cast(d as int))), '')"),
-    "spread": _runs(channels.SPREAD_RUN, "translate(r, ' ', '')"),
+    "spread": _runs("([A-Za-z0-9+/] ){15,}[A-Za-z0-9+/=]", "translate(r, ' ', '')"),
 }
-_TURNS = ", ".join(f"({_quote(a)}, {_quote(b)})" for a, b in channels.CIPHERS.values())
+# Letters moved on by 1 to 25 and mirrored; all printable signs moved on by 47.
+_ABC = "'abcdefghijklmnopqrstuvwxyz'"
+_ASCII = "list_aggregate(list_transform(range(33, 127), lambda k: chr(k::int)), 'string_agg', '')"
+_CIPHERS_SQL = f"""
+  with l as (select {_ABC} as l, {_ASCII} as g),
+  t as (
+    select l, substr(l, k::int + 1) || substr(l, 1, k::int) as m from l, range(1, 26) as r(k)
+    union all select l, reverse(l) from l)
+  select l || upper(l) as signs, m || upper(m) as turned from t
+  union all select g, substr(g, 48) || substr(g, 1, 47) from l
+"""
 _LAYERS = f"""
-c as (select * from (values {_TURNS}) as v(signs, turned)),
+c as ({_CIPHERS_SQL}),
 f as (
   select doc_id, false as cipher, text from p
   union
