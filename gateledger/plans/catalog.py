@@ -18,7 +18,7 @@ from gateledger.functions.rules import rule_hits
 from gateledger.functions import results
 from gateledger.operators import (
     admission, cascade, commitment, filters, injection, inspection, joins, ledger, limits,
-    merkle, metrics, receipts, report,
+    merkle, metrics, networks, receipts, report, rulejoin,
 )
 from gateledger.operators.ordered import dense_position
 from gateledger.plans import checks, gates
@@ -397,6 +397,51 @@ def loopback_trust(spark, folder):
     return df.select("request_id", "owner.owner_type", "owner.owner_id", "loopback_trust.reason")
 
 
+def listed_networks(spark, folder):
+    """A network per order: five lengths of IPv4, two of IPv6; the key is its position."""
+    n = F.col("o_orderkey")
+    length = F.get(F.array(*map(F.lit, (12, 16, 20, 24, 28, 32))), (n % 6).cast("int"))
+    number = n % 1_000_003 * 2_654_435_761 % 2**32
+    first = number - number % F.call_function("shiftleft", F.lit(1).cast("long"), 32 - length)
+    octets = [F.shiftright(first, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)]
+    group, low = F.hex(n % 65_536 * 7_919 % 65_536), F.hex(n % 64)
+    six = F.when(n % 2 == 0, F.concat(F.lit("2001:db8:"), group, F.lit("::/48"))).otherwise(
+        F.concat(F.lit("2001:db8:"), group, F.lit(":"), low, F.lit("::/64")))
+    return T.load(spark, folder, "orders").select(
+        n.alias("position"), F.concat(F.lit("team-"), (n % 97).cast("string")).alias("team"),
+        F.when(n % 5 == 0, six).otherwise(F.concat(F.concat_ws(".", *octets), F.lit("/"), length.cast("string"))).alias("cidr"))
+
+
+def client_addresses(spark, folder):
+    e = F.col("event_id")
+    number = e % 1_000_003 * 2_246_822_519 % 2**32
+    four = F.concat_ws(".", *[F.shiftright(number, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)])
+    six = F.concat(F.lit("2001:DB8:"), F.hex(e * 5 % 65_536 * 7_919 % 65_536), F.lit(":"), F.hex(e % 64), F.lit("::"), F.hex(e % 65_536))
+    return T.load(spark, folder, "events").select("event_id", (
+        F.when(e % 50 == 7, F.concat(F.lit("host-"), e.cast("string"))).when(e % 50 == 9, F.lit(None))
+        .when(e % 4 == 0, six).otherwise(four)).alias("client_ip"))
+
+
+@query
+def network_owners(spark, folder):
+    found = networks.network_owners(client_addresses(spark, folder), listed_networks(spark, folder), carry=("team",))
+    return found.select("event_id", "client_ip", "network", "team")
+
+
+@query
+def rule_table_matches(spark, folder):
+    """Documents against a rule for each long word of every other document."""
+    docs = T.load(spark, folder, "documents")
+    words = docs.where("doc_id % 2 = 0").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where(
+        "length(word) >= 9").distinct()
+    any_case = F.when(F.length("word") % 3 == 0, "(?i)").otherwise("")
+    rules = words.select(
+        F.col("word").alias("rule_id"),
+        F.concat(any_case, F.lit("(^|[^A-Za-z])"), "word", F.lit("([^A-Za-z]|$)")).alias("pattern"))
+    hits = rulejoin.rule_matches(spread(docs, cores(spark)), rules, "doc_id")
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rules"), F.min("rule_id").alias("first_rule"))
+
+
 @query
 def classification_gate(spark, folder):
     df = header_rows(spark, folder).withColumn("gate", admission.classification_gate(F.col("headers")))

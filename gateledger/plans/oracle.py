@@ -334,6 +334,43 @@ select request_id, case when trusted is not null then 'policy'
 from t
 """
 
+SQL["network_owners"] = """
+with n as (select o_orderkey as n, [12, 16, 20, 24, 28, 32][o_orderkey % 6 + 1] as len,
+    o_orderkey % 1000003 * 2654435761 % 4294967296 as num,
+    o_orderkey % 65536 * 7919 % 65536 as grp, o_orderkey % 64 as low from orders),
+four as (select n, len, num // (1::bigint << (32 - len)) as prefix,
+    num - num % (1::bigint << (32 - len)) as first from n where n % 5 <> 0),
+nets as (
+  select n, 4 as kind, len, prefix, (first >> 24)::varchar || '.' || ((first >> 16) & 255)::varchar || '.'
+    || ((first >> 8) & 255)::varchar || '.' || (first & 255)::varchar || '/' || len::varchar as network from four
+  union all
+  select n, 6, case when n % 2 = 0 then 48 else 64 end, case when n % 2 = 0 then grp else grp * 65536 + low end,
+    '2001:db8:' || upper(to_hex(grp)) || case when n % 2 = 0 then '::/48' else ':' || upper(to_hex(low)) || '::/64' end
+  from n where n % 5 = 0),
+a as (select event_id, event_id % 1000003 * 2246822519 % 4294967296 as num,
+    event_id * 5 % 65536 * 7919 % 65536 as grp, event_id % 64 as low,
+    case when event_id % 50 in (7, 9) then 0 when event_id % 4 = 0 then 6 else 4 end as kind from events),
+k as (
+  select event_id, 4 as kind, len, num // (1::bigint << (32 - len)) as prefix
+  from a, (values (12), (16), (20), (24), (28), (32)) l(len) where kind = 4
+  union all select event_id, 6, 48, grp from a where kind = 6
+  union all select event_id, 6, 64, grp * 65536 + low from a where kind = 6),
+best as (select event_id, min(n) as n from k join nets using (kind, len, prefix) group by 1)
+select event_id, case when event_id % 50 = 7 then 'host-' || event_id::varchar when a.kind = 4 then
+    (num >> 24)::varchar || '.' || ((num >> 16) & 255)::varchar || '.' || ((num >> 8) & 255)::varchar || '.' || (num & 255)::varchar
+  when a.kind = 6 then '2001:DB8:' || upper(to_hex(grp)) || ':' || upper(to_hex(low)) || '::' || upper(to_hex(event_id % 65536)) end as client_ip,
+  nets.network, 'team-' || (best.n % 97)::varchar as team
+from a left join best using (event_id) left join nets on nets.n = best.n
+"""
+
+SQL["rule_table_matches"] = """
+with t as (select distinct doc_id, unnest(string_split_regex(text, '[^A-Za-z]+')) as word from documents),
+r as (select distinct word as rule_id, lower(word) as low, length(word) % 3 = 0 as any_case
+  from t where doc_id % 2 = 0 and length(word) >= 9),
+m as (select distinct doc_id, rule_id from t join r on r.low = lower(t.word) where any_case or r.rule_id = t.word)
+select doc_id, count(*) as rules, min(rule_id) as first_rule from m group by 1
+"""
+
 _NAMES = "['UNCLASS', 'CUI', 'SECRET', 'TS', 'TS_SCI']"
 SQL["classification_gate"] = _with(_HEADERS) + f"""
 select request_id, case when needs is null or holds is null or holds < needs then 'block' else 'allow' end as decision,
