@@ -119,8 +119,8 @@ def seal(
     A chain is sequential by definition: each MAC covers the one before.  Rows
     stream through in sorted Arrow batches with one MAC carried, so memory does
     not grow with the chain, and chains run side by side.  ``segment_rows``
-    cuts long chains into independent ones (``chain/000001``) so that one hot
-    chain is sealed by many tasks.  ``links`` (chain_id, link) continues
+    cuts long chains into shorter ones (``chain/00000001``) so that one hot chain
+    is sealed by many tasks; ``segments.seal_heads`` links and signs these.  ``links`` (chain_id, link) continues
     existing chains.  ``tasks`` deals rows out before the canonical text is built.
     """
     if segment_rows:

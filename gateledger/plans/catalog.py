@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gateledger import schema as S
@@ -19,10 +19,11 @@ from gateledger.functions import results
 from gateledger.operators import (
     admission, cascade, commitment, filters, injection, inspection, joins, ledger, limits,
     merkle, metrics, networks, receipts, report, rulejoin,
+    segments,
 )
 from gateledger.operators.ordered import dense_position
 from gateledger.plans import checks, gates
-from gateledger.session import fresh_path, spread
+from gateledger.session import durable_table, fresh_path, spread
 from gateledger.sources import decisions
 
 
@@ -169,6 +170,24 @@ def seal_segments(spark, folder):
     return sealed(spark, folder).select("chain_id", "seq", "prev_hmac", "hmac")
 
 
+@query
+def sealed_heads(spark, folder):
+    """The signed chain of segment heads, closed by their number."""
+    heads = segments.seal_heads(durable_table(sealed(spark, folder)), RING)
+    return heads.select("chain_id", "seq", "entry_id", "prev_hmac", "hmac")
+
+
+@query
+def linked_segment_breaks(spark, folder):
+    """Of the sealed segments every fifth is gone and others have lost their last row."""
+    whole = durable_table(sealed(spark, folder))
+    number = F.regexp_extract("chain_id", "/([0-9]+)$", 1).cast("long")
+    size = F.count(F.lit(1)).over(Window.partitionBy("chain_id"))
+    left = whole.withColumn("_size", size).where(
+        (number % 5 != 2) & ~((number % 7 == 3) & (F.col("seq") == F.col("_size") - 1))).drop("_size")
+    return segments.verify_linked(left, segments.seal_heads(whole, RING), RING)
+
+
 def written_log(spark, folder):
     """Sealed rows as a log of text lines, some of them damaged or blank."""
     rows, n = sealed(spark, folder), F.substring("entry_id", 2, 20).cast("long")

@@ -147,12 +147,39 @@ u as (select seq, 'main/' || lpad((seq // {SEGMENT})::varchar, 8, '0') as chain,
   || '","ts_ns":' || ts_ns::varchar || '}}' as tail from d)
 """
 
-SQL["seal_segments"] = _with(D, _CHAIN, f"""
+_SEALED = f"""
 r as (select chain, pos, '' as prev_hmac, {_mac("head || tail")} as hmac from u where pos = 0
   union all
   select u.chain, u.pos, r.hmac, {_mac("u.head || r.hmac || u.tail")}
   from r join u on u.chain = r.chain and u.pos = r.pos + 1)
-""", recursive=True) + "select chain as chain_id, pos as seq, prev_hmac, hmac from r"
+"""
+SQL["seal_segments"] = _with(D, _CHAIN, _SEALED, recursive=True) + """
+select chain as chain_id, pos as seq, prev_hmac, hmac from r"""
+
+_STAMP = '"_anchor":{"backend":"noop","success":true},"_signing_key_id":"k1",'
+SQL["sealed_heads"] = _with(D, _CHAIN, _SEALED, f"""
+e as (select (seq // {SEGMENT}) as segment, count(*) as n, max(ts_ns) as ts_ns from d group by 1),
+g as (
+  select segment as seq, 'segment_head' as check_name, 'main/' || segment::varchar as entry_id, ts_ns,
+    '"last_hmac":"' || r.hmac || '","rows":' || n::varchar || ',"segment":' || segment::varchar as facts
+  from e join r on r.chain = 'main/' || lpad(segment::varchar, 8, '0') and r.pos = n - 1
+  union all
+  select count(*), 'segments_closed', 'main/heads', max(ts_ns), '"segments":' || count(*)::varchar from e),
+t as (select seq, entry_id,
+    '{{"approval_chain":["policy:segments"],"check_name":"' || check_name || '","decision":"allow","entry_id":"' || entry_id
+    || '","metadata":{{{_STAMP}' || facts || '}},"owner_id":"segments","owner_type":"policy","prev_hmac":"' as head,
+    '","reason":"segment sealed","request_fingerprint":"","ts_ns":' || ts_ns::varchar || '}}' as tail from g),
+h as (
+  select seq, entry_id, '' as prev_hmac, {_mac("head || tail")} as hmac from t where seq = 0
+  union all
+  select t.seq, t.entry_id, h.hmac, {_mac("t.head || h.hmac || t.tail")} from h join t on t.seq = h.seq + 1)
+""", recursive=True) + "select 'main/heads' as chain_id, seq, entry_id, prev_hmac, hmac from h"
+
+SQL["linked_segment_breaks"] = f"""
+select 'main/' || lpad(k::varchar, 8, '0') as chain_id, k as "index", '' as entry_id,
+  case when k % 5 = 2 then 'segment_missing' else 'segment_changed' end as kind
+from (select distinct event_id // {SEGMENT} as k from events) where k % 5 = 2 or k % 7 = 3
+"""
 
 _TAMPER = f"""
 k as (select 'main/' || lpad((event_id // {SEGMENT})::varchar, 8, '0') as chain_id, event_id as n,
