@@ -12,7 +12,7 @@ SCHEMA = (
 
 
 def kinds(df):
-    return sorted((r.chain_id, r.index, r.kind) for r in df.collect())
+    return sorted((r.chain_id, r["index"], r.kind) for r in df.collect())
 
 
 def test_linked_segments(spark):
