@@ -89,6 +89,9 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lists = column.to_pylist()
     good = [i for i, v in enumerate(lists) if v and None not in v]
     x = np.array([lists[i] for i in good], np.float64)
+    # squares of very large or small components would leave the range of a double
+    most = np.abs(x).max(axis=1, keepdims=True) if len(good) else np.zeros((0, 1))
+    x = np.divide(x, most, out=np.zeros_like(x), where=np.isfinite(most) & (most > 0))
     norm = np.linalg.norm(x, axis=1) if len(good) else np.zeros(0)
     fine = np.isfinite(norm) & (norm > 0)
     return np.array(good, np.int64)[fine], x[fine] / norm[fine][:, None]

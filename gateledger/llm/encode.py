@@ -111,14 +111,19 @@ class PieceEncoder:
 
 
 class Encoder(PieceEncoder):
-    """Ids by the tokenizers library, as little-endian unsigned 32-bit integers."""
+    """Ids by the tokenizers library, as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str):
+    Text that spells a special token is that token, as the library reads it, or
+    with ``special`` off plain text.
+    """
+
+    def __init__(self, path: str, special: bool = True):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         self.model = self.library.model
         self.letters = byte_letters()
         plan = json.loads(self.library.to_str())
+        self.marks = [t["content"].lower() for t in plan["added_tokens"]] if special else []
         parts = (plan["pre_tokenizer"] or {}).get("pretokenizers") or [plan["pre_tokenizer"]]
         kinds = [p["type"] for p in parts if p]
         steps = [s["type"] for s in (plan["normalizer"] or {}).get("normalizers", [])]
@@ -132,6 +137,12 @@ class Encoder(PieceEncoder):
             raise ValueError(f"no known word borders in {path}")
         self.remember()
 
+    def encode(self, text: str) -> bytes:
+        lowered = text.lower() if self.marks else ""
+        if any(mark in lowered for mark in self.marks):  # a border of its own
+            return self.whole(text)
+        return super().encode(text)
+
     def chunk(self, text: str) -> bytes:
         if not text:
             return b""
@@ -154,9 +165,12 @@ class Encoder(PieceEncoder):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def shared(path: str, kind: type[PieceEncoder] = Encoder) -> PieceEncoder:
-    """The worker's encoder of a file; kept on the tokenizer package between tasks."""
-    kept = vars(public_tokenizers).setdefault("_remembered_encoders", {})
-    if (kind.__name__, path) not in kept:
-        kept[kind.__name__, path] = kind(path)
-    return kept[kind.__name__, path]
+_KEPT: dict[tuple, PieceEncoder] = {}
+
+
+def shared(path: str, kind: type[PieceEncoder] = Encoder, **options) -> PieceEncoder:
+    """The worker's encoder of a file, kept between tasks."""
+    key = (kind, path, *sorted(options.items()))
+    if key not in _KEPT:
+        _KEPT[key] = kind(path, **options)
+    return _KEPT[key]

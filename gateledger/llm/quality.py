@@ -187,8 +187,8 @@ def judge(texts: list[str], forest: Forest | None, threshold: float) -> dict[str
     failed = [r[0] < 50 or 100 * r[4] > 50 * r[0] for r in rows]
     chance = forest.probability(x) if forest else np.ones(len(rows))
     found["base_failed"] = failed
-    found["score"] = chance
     found["kept"] = [not f and c >= threshold for f, c in zip(failed, chance.tolist(), strict=True)]
+    found["score"] = chance
     if not forest:
         found["features"] = x.tolist()
     return found
@@ -200,7 +200,7 @@ def scored(
     def make():
         return lambda texts: judge(texts, forest, threshold)
 
-    schema = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"
+    schema = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double"
     return per_text(docs, make, schema + ("" if forest else ", features array<double>"), id_col, text_col)
 
 

@@ -47,7 +47,7 @@ def write_flat(
         raise ValueError("ids must fit 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encode.shared(tokenizer)
+        encoder = encode.shared(tokenizer, special=False)  # the separator stays unique
         file, block, seen, held = TaskContext.get().partitionId(), 0, 0, bytearray()
         end = np.array([end_id], "<u2").tobytes()
 

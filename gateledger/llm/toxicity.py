@@ -132,7 +132,8 @@ class Matcher:
 
 
 def held_out(id_col: str = "doc_id"):
-    return (F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD_OUT_OF) == 0
+    """Whether a row is kept from training; a null id counts as empty text."""
+    return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % HELD_OUT_OF) == 0
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:

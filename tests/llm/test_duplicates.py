@@ -291,3 +291,13 @@ def test_a_path_whose_ends_come_first_stays_whole(spark):
     assert {r.rep: r.n_links for r in edges.collect()} == {1: 1, 2: 1, 10: 2, 11: 2}
     joined = components.components(edges.select(F.col("rep").alias("a"), F.col("least").alias("b"))).collect()
     assert {r.id: r.component for r in joined} == {1: 1, 2: 1, 10: 1, 11: 1}
+
+
+def test_vectors_beyond_the_range_of_squares():
+    import pyarrow as pa
+
+    from gateledger.llm.capfilters import unit_rows
+
+    rows = pa.array([[1e200, 1e200], [1e-200, 1.0001e-200], [0.0, 0.0], [float("inf"), 1.0], None], pa.list_(pa.float64()))
+    at, unit = unit_rows(rows)
+    assert at.tolist() == [0, 1] and float(unit[0] @ unit[1]) > 0.999999

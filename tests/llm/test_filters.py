@@ -159,3 +159,8 @@ def test_license_scan_against_brute_force(spark):
         assert 0.8 <= r.containment <= 1 and r.first_word < r.end_word, (doc, name)
     assert licenses.scan_licenses(awkward(spark, [])).count() == 0
     assert licenses.scan_licenses(awkward(spark, texts), templates={}).count() == 0
+
+
+def test_null_id_is_held_out_by_its_text(spark):
+    row = spark.createDataFrame([(None,)], "doc_id long").select(toxicity.held_out().alias("h")).first()
+    assert row.h is True
