@@ -70,7 +70,14 @@ def rate_limit(
         wait = None if passed or rate == 0 else round((1.0 - tokens / one) / rate, 3)
         return state, (passed, left, wait)
 
-    metered = ordered_fold(slim, [owner], ["us_", row_id], step, outputs)
+    # After such a pause the bucket is full, whatever happened before.
+    units = round(refill_per_second * 1_000_000)
+    pause = -(-capacity * TOKEN // units) if units else None
+
+    def refilled(before, row) -> bool:
+        return pause is not None and int(row.us_) - int(before.us_) >= pause
+
+    metered = ordered_fold(slim, [owner], ["us_", row_id], step, outputs, refilled)
     free = df.where(F.col(owner).isNull()).select(
         owner, row_id, F.unix_micros(ts).alias("us_"), F.lit(True).alias("allowed"))
     return metered.unionByName(free, allowMissingColumns=True).withColumn(

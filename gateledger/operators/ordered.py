@@ -7,7 +7,7 @@ so nothing here gives a whole key to one task.  Three tools cover the needs:
 * ``halo_blocks`` / ``running_sum`` – windows over bounded blocks of a dense
   position, with the neighbouring rows or the block offset brought in;
 * ``ordered_fold`` – a state machine over range-sorted chunks, repeated only
-  for chunks whose incoming state turned out to differ.
+  for chunks that lie inside one key and are reached by another state.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gateledger.session import durable
+from gateledger.session import durable, durable_table
 
 BLOCK_ROWS = 65_536
 
@@ -121,37 +121,42 @@ def range_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 State = tuple | None
 Step = Callable[[State, Any], tuple[State, tuple]]
+Fresh = Callable[[Any, Any], bool]
 
 
-def _fold_batches(
-    batches: Iterator[pd.DataFrame],
-    keys: Sequence[str],
-    step: Step,
-    incoming: dict[int, State],
-):
-    """Walk sorted batches; yields (batch, outputs, chunk, key, state)."""
-    chunk = key = None
-    first_key = None
-    state: State = None
+def _walk_chunks(batches: Iterator[pd.DataFrame], keys: Sequence[str], step: Step, fresh: Fresh | None):
+    """Walk sorted batches; yields (batch, outputs, None), and (None, None, edge) behind each chunk.
+
+    An edge is chunk, first and last key, state at the end, the state it began
+    with, and whether the end depends on that: one key, and no fresh start.
+    """
+    chunk = first = key = state = began = last_row = None
+    depends = True
+
+    def edge() -> tuple:
+        return int(chunk), repr(first), repr(key), repr(state), began, depends
+
     for batch in batches:
         columns = list(batch.columns)
         at = [columns.index(k) for k in keys]
-        chunk_at = columns.index("_chunk")
+        chunk_at, in_at = columns.index("_chunk"), columns.index("_in")
         outputs = []
         for row in batch.itertuples(index=False):
             row_key = tuple(row[i] for i in at)
             if row[chunk_at] != chunk:
                 if chunk is not None:
-                    yield None, None, chunk, first_key, key, state
-                chunk, key, first_key = row[chunk_at], row_key, row_key
-                state = incoming.get(int(chunk))
-            elif row_key != key:
-                key, state = row_key, None
+                    yield None, None, edge()
+                chunk, first, key, depends = row[chunk_at], row_key, row_key, True
+                began = row[in_at]
+                state = _parse_state(began) if began is not None else None
+            elif row_key != key or fresh is not None and fresh(last_row, row):
+                key, state, depends = row_key, None, False
             state, out = step(state, row)
+            last_row = row
             outputs.append(out)
-        yield batch, outputs, None, None, None, None
+        yield batch, outputs, None
     if chunk is not None:
-        yield None, None, chunk, first_key, key, state
+        yield None, None, edge()
 
 
 def ordered_fold(
@@ -160,58 +165,68 @@ def ordered_fold(
     order: Sequence[str],
     step: Step,
     outputs: Sequence[T.StructField],
+    fresh: Fresh | None = None,
 ) -> DataFrame:
     """Run ``step(state, row) -> (state, outputs)`` over each key in order.
 
     ``state`` is None at a key's first row, and otherwise a tuple of ints,
-    strings or booleans.  A chunk holding one single key starts from its
-    predecessor's end state; these are exchanged until none changes, which is
-    exact: chunk 0 is right at once, and each round fixes at least the next.
-    Only one small row per chunk reaches the driver.
+    strings or booleans.  ``fresh(before, row)`` may tell that a row's state does
+    not depend on earlier rows of its key (as if it were the first), so that the
+    chunk's end is known in one pass.  Only chunks of a single key without such a
+    row depend on their predecessor's end state; these are walked again while the
+    state that reaches them changes.  That is exact: the first such chunk is right
+    at once, and each round fixes at least the next.  States stay in tables of one
+    row per chunk; the driver only asks whether any is left to walk.
     """
-    chunks = range_chunks(df, [*keys, *order])
-    edge_schema = "chunk int, first string, last string, state string"
+    chunks = durable(
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_chunk", F.spark_partition_id())
+        # the lower 33 bits count the rows of a partition
+        .withColumn("_first", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0)
+    )
+    edge_fields = ["chunk", "first", "last", "state", "began", "depends"]
 
-    def edges(incoming: dict[int, State], only: list[int] | None) -> dict[int, tuple]:
-        todo = chunks if only is None else chunks.where(F.col("_chunk").isin(only))
+    def walk(batches):
+        found = [edge for _, _, edge in _walk_chunks(batches, keys, step, fresh) if edge]
+        yield pd.DataFrame(found, columns=edge_fields)
 
-        def walk(batches):
-            found = []
-            for _, _, chunk, first, last, state in _fold_batches(batches, keys, step, incoming):
-                if chunk is not None:
-                    found.append((int(chunk), repr(first), repr(last), repr(state)))
-            yield pd.DataFrame(found, columns=["chunk", "first", "last", "state"])
+    def edges_of(rows: DataFrame) -> DataFrame:
+        return rows.mapInPandas(walk, "chunk int, first string, last string, state string, began string, depends boolean")
 
-        rows = todo.mapInPandas(walk, edge_schema).collect()
-        return {r.chunk: (r.first, r.last, _parse_state(r.state)) for r in rows}
+    def entered(rows: DataFrame, states: DataFrame) -> DataFrame:
+        """Chunks in order again, with the state that reaches them on their first row."""
+        coming = states.select(F.col("chunk").alias("_chunk"), F.lit(True).alias("_first"), F.col("coming").alias("_in"))
+        return rows.join(coming, ["_chunk", "_first"], "left").repartition("_chunk").sortWithinPartitions(
+            "_chunk", *keys, *order, F.col("_first").desc())
 
-    known = edges({}, None)
-    numbers = sorted(known)
-    incoming: dict[int, State] = {}
+    untouched = chunks.withColumn("_in", F.lit(None).cast("string"))
+    edges = durable_table(edges_of(untouched))
+    before = Window.orderBy("chunk")  # one row per chunk
     while True:
-        changed = []
-        for prev, here in zip(numbers, numbers[1:]):
-            carried = known[prev][2] if known[prev][1] == known[here][0] else None
-            if carried != incoming.get(here):
-                incoming[here] = carried
-                # Several keys in the chunk: its end state cannot change.
-                if known[here][0] == known[here][1]:
-                    changed.append(here)
-        if not changed:
+        same = F.lag("last").over(before) == F.col("first")
+        linked = durable_table(edges.withColumn("coming", F.when(same, F.lag("state").over(before))))
+        stale = linked.where(F.col("depends") & ~F.col("coming").eqNullSafe(F.col("began"))).select("chunk", "coming")
+        if stale.isEmpty():
             break
-        known.update(edges(incoming, changed))
-
-    source = [f for f in chunks.schema.fields if f.name != "_chunk"]
+        there = chunks.join(stale.select(F.col("chunk").alias("_chunk")), "_chunk", "left_semi")
+        edges = durable_table(
+            linked.select(edge_fields).join(stale, "chunk", "left_anti").unionByName(edges_of(entered(there, stale))))
+
+    states = linked.where("coming is not null")
+    ready = untouched if states.isEmpty() else entered(chunks, states)
+    own = ["_chunk", "_first", "_in"]
+    source = [f for f in df.schema.fields]
     schema = T.StructType([*source, *outputs])
     names = [f.name for f in outputs]
 
     def emit(batches):
-        for batch, results, *_ in _fold_batches(batches, keys, step, incoming):
+        for batch, results, _ in _walk_chunks(batches, keys, step, fresh):
             if batch is not None:
                 extra = pd.DataFrame(results, columns=names, index=batch.index, dtype=object)
-                yield pd.concat([batch.drop(columns="_chunk"), extra], axis=1)
+                yield pd.concat([batch.drop(columns=own), extra], axis=1)
 
-    return chunks.mapInPandas(emit, schema)
+    return ready.select(*df.columns, *own).mapInPandas(emit, schema)
 
 
 def _parse_state(text: str) -> State:

@@ -128,3 +128,20 @@ def test_asof_join_with_hot_key(spark):
     for k, t, i in left:
         past = [a for a in times.get(k, {}) if a <= t]
         assert (got[i] is None) if not past else (got[i] in times[k][max(past)])
+
+
+def test_fold_of_one_key_over_many_chunks(spark):
+    """One owner in 40 chunks, with and without pauses that refill the bucket."""
+    rows = [("hot", k * 150_000 + (k // 100) * 4_000_000 * (k % 7 > 2), k) for k in range(400)]
+    rows += [("hot", 200_000_000 + k * 90_000, 1000 + k) for k in range(400)] + [("b", k, 3000 + k) for k in range(5)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2]))
+    df = spark.createDataFrame(rows, "owner_key string, us long, request_id long").withColumn("ts", F.timestamp_micros("us"))
+    want = bucket(rows, 5, 3.0)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = {r.request_id: r for r in limits.rate_limit(df, 5, 3.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {k: r.allowed for k, r in out.items()} == want
