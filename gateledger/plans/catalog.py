@@ -789,6 +789,27 @@ def request_messages(spark, folder):
     return m.select("request_id", "pos", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query
+def mixed_messages(spark, folder):
+    """Contents as clients send them: strings, part lists, and values that are no text."""
+    d = T.load(spark, folder, "documents")
+    line = F.to_json(F.struct(F.col("text").alias("t")))
+    quoted = F.substring(line, F.lit(6), F.length(line) - 6)
+    listed = F.concat(
+        F.lit('[{"type":"text","text":'), quoted, F.lit('},{"type":"image_url","image_url":{"url":"x"}},"loose",'),
+        F.lit('{"type":"text","text":"[tail]"},{"type":"text"}]'))
+    content = (
+        F.when(F.col("doc_id") % 6 == 1, listed).when(F.col("doc_id") % 6 == 2, F.col("doc_id").cast("string"))
+        .when(F.col("doc_id") % 6 == 3, F.concat(F.lit('{"a":'), quoted, F.lit("}"))).when(F.col("doc_id") % 6 == 4, "null")
+        .otherwise(quoted))
+    body = F.concat(
+        F.lit('{"messages":["none",{"role":"user","content":'), content,
+        F.lit('},{"role":"tool","content":"seen"},{"role":"assistant","content":["'), F.lit('x"]}]}'))
+    rows = d.where("text is not null").select(F.col("doc_id").alias("request_id"), body.alias("body"))
+    m = requests.extract_messages(spread(rows, cores(spark)), roles=("user", "assistant"))
+    return m.select("request_id", "pos", "part", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query
 def scan_text(spark, folder):
     ok, _ = requests.read_requests(request_rows(spark, folder))

@@ -725,6 +725,12 @@ SQL["request_messages"] = _with(_REQ) + """
 select request_id, 0 as pos, role, md5(text) as text_md5 from p
 where refusal_kind is null and role in ('user', 'assistant')
 """
+SQL["mixed_messages"] = """
+select doc_id as request_id, 0 as pos, 0 as part, 'user' as role, md5(text) as text_md5
+from documents where doc_id % 6 in (0, 1, 5) and text is not null
+union all select doc_id, 0, 3, 'user', md5('[tail]') from documents where doc_id % 6 = 1 and text is not null
+union all select doc_id, 0, 4, 'user', md5('') from documents where doc_id % 6 = 1 and text is not null
+"""
 SQL["scan_text"] = _with(_REQ) + """
 select request_id, md5(text) as scan_md5 from p where refusal_kind is null
 """

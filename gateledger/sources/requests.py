@@ -108,14 +108,17 @@ def response_text(body: Column, path: Column | None = None) -> Column:
 
 
 def messages_of(body: Column) -> Column:
-    """array<struct<role, content, parts>>; content and parts exclude each other."""
+    """array<struct<role, content, parts>>; content and parts exclude each other.
+
+    Only strings are contents and only arrays have parts; numbers, objects and
+    nulls leave both null.
+    """
     raw = F.from_json(F.get_json_object(body, "$.messages"), "array<string>")
 
     def one(m: Column) -> Column:
         content = F.get_json_object(m, "$.content")
-        listed = F.startswith(content, F.lit("[")) & J.variant_kind(
-            F.try_variant_get(F.try_parse_json(m), "$.content", "variant")
-        ).eqNullSafe(F.lit("ARRAY"))
+        kind = J.variant_kind(F.try_variant_get(F.try_parse_json(m), "$.content", "variant"))
+        listed = kind.eqNullSafe(F.lit("ARRAY"))
         parts = F.transform(
             F.from_json(content, "array<string>"),
             lambda p: F.struct(
@@ -126,7 +129,7 @@ def messages_of(body: Column) -> Column:
         )
         return F.struct(
             F.get_json_object(m, "$.role").alias("role"),
-            F.when(~listed, content).alias("content"),
+            F.when(kind == "STRING", content).alias("content"),
             F.when(listed, parts).alias("parts"),
         )
 

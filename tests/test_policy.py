@@ -130,3 +130,10 @@ def test_result_contract():
         results.result("allow", "x", F.lit("text"))
     with pytest.raises(ValueError):
         results.result("maybe", "x")
+
+
+def test_contents_that_are_no_text(spark):
+    body = '{"messages":[{"role":"user","content":5},{"role":"user","content":{"a":"x"}},{"role":"user","content":null},' \
+           '{"role":"user","content":"[1]"},{"role":"user","content":[{"type":"text","text":"p"}]}]}'
+    m = one(spark, requests.message_texts(F.lit(body)))
+    assert list(m) == ["[1]", "p"]
