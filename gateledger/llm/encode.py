@@ -9,6 +9,8 @@ Python worker for later tasks.
 from __future__ import annotations
 
 import json
+import sys
+import types
 
 import numpy as np
 import public_tokenizers
@@ -165,12 +167,15 @@ class Encoder(PieceEncoder):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_KEPT: dict[tuple, PieceEncoder] = {}
+def _kept() -> dict[tuple, PieceEncoder]:
+    """A map that outlives tasks: workers load this package anew for each, so it has a module of its own."""
+    own = sys.modules.setdefault("_gateledger_encoders", types.ModuleType("_gateledger_encoders"))
+    return vars(own).setdefault("kept", {})
 
 
 def shared(path: str, kind: type[PieceEncoder] = Encoder, **options) -> PieceEncoder:
     """The worker's encoder of a file, kept between tasks."""
-    key = (kind, path, *sorted(options.items()))
-    if key not in _KEPT:
-        _KEPT[key] = kind(path, **options)
-    return _KEPT[key]
+    key, kept = (kind.__name__, path, *sorted(options.items())), _kept()
+    if key not in kept:
+        kept[key] = kind(path, **options)
+    return kept[key]
