@@ -183,3 +183,17 @@ def test_ciphers_over_every_channel_and_form(spark):
     df = spark.createDataFrame(rows, "name string, text string")
     got = {r.name: r.prompt_injection.decision for r in cascade.scan_with_cascade(df, "name").collect()}
     assert [n for n, _ in rows if got[n] != "block"] == ["harmless"]
+
+
+def test_channels_take_runs_of_a_megabyte(spark):
+    n = 1_000_000
+    runs = {
+        "base64": "QUJD" * (n // 4), "hex": "61" * (n // 2), "percent": "%61" * (n // 3), "entity": "&#97;" * (n // 5),
+        "hex-entity": "&#x61;" * (n // 6), "escape": "\\u0061" * (n // 6), "curly-escape": "\\u{61}" * (n // 6),
+        "code-points": "97 " * (n // 3) + "98", "spread": "Q U " * (n // 4) + "J",
+    }
+    df = spark.createDataFrame(list(runs.items()), "name string, text string")
+    made = df.select("name", channels.may_decode(F.col("text")).alias("may"), *[
+        F.length(decode(F.col("text"))).alias(k) for k, decode in channels.CHANNELS.items()])
+    for row in made.collect():
+        assert row.may and row[row.name] > n / 7
