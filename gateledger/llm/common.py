@@ -21,17 +21,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, path: str | None = None) -> DataFrame:
     """A table in the shared folder; the shuffle files behind it go once it stands."""
     conf = df.sparkSession.conf
     was = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
     try:
-        return durable_table(df)
+        return durable_table(df, path)
     finally:
         conf.set(CLEANUP, was)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a settled table that no later plan reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and text under fixed names; a null text counts as empty."""
     return docs.select(

@@ -13,7 +13,7 @@ threshold t.  The join is exact up to 64-bit shingle hashes:
    the OR of the bitmaps, the range of sizes and the most shingles that bitmaps
    hide by collisions.  Two nodes are searched together from the roots down; a
    pair is dropped when the largest overlap its bitmaps and sizes allow is below
-   what t asks for.  (Leaf pairs connected already are listed, but not verified.)
+   what t asks for, or when all leaves below both are in one component already.
 4. Surviving leaf pairs are verified with their sets and joined on the spot, so
    a large group of near copies yields one edge per set and never its pairs.
    Each set names its most common tree; the trees so named are searched with all
@@ -24,6 +24,12 @@ threshold t.  The join is exact up to 64-bit shingle hashes:
 Trees beyond ``block`` shingles or LEAVES sets are cut into blocks, and every two
 blocks of a tree are searched together, so a task's memory has a bound.
 
+Tree names are walked in ranges.  Each range is reduced to trees that sets share,
+and its shuffle is freed, before the next; the trees to search are walked in
+ranges too, and after each one trees whose sets are all in one component are left
+out of those to come.  The links found are the same; peak disk falls with the
+number of ranges.
+
 Defined results: null and empty texts have no shingles and are alone; repeated
 rows have equal sets and so one component; ties and extra columns have no
 effect; an empty table gives no rows.
@@ -39,14 +45,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateledger.llm.common import settled, slices, slim, table
+from gateledger.llm.common import dropped, settled, slices, slim, table
 from gateledger.llm.components import components
+from gateledger.session import fresh_path
 
 U = np.uint64
 FANOUT = 8
 BLOCK = 2_000_000  # shingles of a block
 LEAVES = 4096  # sets of a block
 ROOM = 32  # bits of a bitmap for each shingle
+NAME_RANGES = 6  # of tree names
+SEARCH_RANGES = 4  # of trees searched with their sets
+STRIPE = 256  # rows compared at a time
 WORD_LIMIT = 1_000_000
 
 
@@ -159,8 +169,59 @@ def words_for(sets: list[np.ndarray]) -> int:
     return len(bitmap(min(sets, key=len)))
 
 
-def search(one: Tree, two: Tree, num: int, den: int, chunk: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Leaf pairs (positions in the input) that may link, by dual traversal."""
+class Union:
+    def __init__(self, n: int):
+        self.up, self.links = list(range(n)), 0
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def link(self, root: int, other: int) -> None:
+        self.up[other] = root
+        self.links += 1
+
+    def roots(self) -> np.ndarray:
+        up = np.array(self.up)
+        while (up != up[up]).any():
+            up = up[up]
+        return up
+
+
+class Joined:
+    """Least and greatest component of the leaves below each node, as links are found."""
+
+    def __init__(self, union: Union, trees: list[tuple[Tree, np.ndarray]]):
+        # leaves of each tree as positions in the union
+        self.union, self.leaves = union, [at[tree.order] for tree, at in trees]
+        self.links, self.levels = -1, []
+
+    def alike(self, k: int, i: np.ndarray, m: int, j: np.ndarray) -> np.ndarray:
+        if self.links != self.union.links:
+            self.links, roots = self.union.links, self.union.roots()
+            self.levels = [self.bounds(roots[at]) for at in self.leaves]
+        low, high = self.levels[0][k]
+        other_low, other_high = self.levels[-1][m]
+        return (low[i] == high[i]) & (low[i] == other_low[j]) & (low[i] == other_high[j])
+
+    @staticmethod
+    def bounds(roots: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        levels = [(roots, roots)]
+        while len(levels[-1][0]) > 1:
+            low, high = levels[-1]
+            cut = np.arange(0, len(low), FANOUT)
+            levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
+        return levels
+
+
+def search(
+    one: Tree, two: Tree, num: int, den: int, joined: Joined, chunk: int = 8192,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Leaf pairs (positions in the input) that may link, by dual traversal.
+
+    Links that the caller adds to ``joined.union`` on the way prune what follows.
+    """
     itself = one is two
     stack = [(len(one.levels) - 1, len(two.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
@@ -171,6 +232,7 @@ def search(one: Tree, two: Tree, num: int, den: int, chunk: int = 8192) -> Itera
             continue
         a, b = one.levels[k], two.levels[m]
         keep = (den * a[2][i] >= num * b[1][j]) & (den * b[2][j] >= num * a[1][i])
+        keep &= ~joined.alike(k, i, m, j)
         i, j = i[keep], j[keep]
         common = np.bitwise_count(a[0][i] & b[0][j]).sum(axis=1, dtype=np.int64)
         most = np.minimum(common + np.minimum(a[3][i], b[3][j]), np.minimum(a[2][i], b[2][j]))
@@ -226,16 +288,6 @@ def edges_out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-class Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-
 def in_blocks(rows: DataFrame, block: int) -> DataFrame:
     """Rows (tree, held, weight, rep, ...) dealt to every pair of blocks of their tree."""
     parts = F.greatest(F.ceil(F.col("weight") / block), F.ceil(F.col("held") / LEAVES))
@@ -273,11 +325,12 @@ def join_trees(rows: DataFrame, num: int, den: int) -> DataFrame:
             one = Tree([sets[i] for i in left], words)
             two = one if left is right else Tree([sets[i] for i in right], words)
             union, pairs = Union(len(sets)), []
-            for i, j in search(one, two, num, den):
+            joined = Joined(union, [(one, left)] if two is one else [(one, left), (two, right)])
+            for i, j in search(one, two, num, den, joined):
                 for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
                     p, q = union.root(x), union.root(y)
                     if p != q and links(sets[x], sets[y], num, den):
-                        union.up[q] = p
+                        union.link(p, q)
                         pairs.append((ids[x], ids[y]))
             if pairs:
                 yield edges_out(pairs)
@@ -285,6 +338,29 @@ def join_trees(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def meeting(stripe: np.ndarray, right: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which rows of a stripe share a place with which rows of the other side.
+
+    The matrices are as wide as the places of the stripe alone.
+    """
+    here = np.isin(owner, stripe)
+    names = np.unique(place[here])
+    if not len(names):
+        return np.zeros((len(stripe), len(right)), bool)
+    column = np.minimum(np.searchsorted(names, place), len(names) - 1)
+    known = names[column] == place
+
+    def member(rows: np.ndarray) -> np.ndarray:
+        spot = np.full(int(max(owner.max(), rows.max())) + 1, -1)
+        spot[rows] = np.arange(len(rows))
+        use = known & (spot[owner] >= 0)
+        grid = np.zeros((len(rows), len(names)), np.float32)
+        grid[spot[owner[use]], column[use]] = 1
+        return grid
+
+    return member(stripe) @ member(right).T > 0
+
+
 def not_met(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a tree across components that met in no searched tree and fit by size."""
 
@@ -295,22 +371,24 @@ def not_met(rows: DataFrame, num: int, den: int) -> DataFrame:
             if not len(left) or not len(right) or (groups == groups[0]).all():
                 continue
             ids, sizes = rows_.column("rep").to_numpy(), rows_.column("n").to_numpy()
-            met = rows_.column("met").to_pylist()
-            owner = np.repeat(np.arange(len(met)), [len(m) for m in met])
-            place = np.unique([t for m in met for t in m], return_inverse=True)[1]
-            member = np.zeros((len(met), place.max() + 1), np.float32)
-            member[owner, place] = 1
-            open_ = member[left] @ member[right].T == 0
-            open_ &= groups[left][:, None] != groups[right][None, :]
-            small = np.minimum(sizes[left][:, None], sizes[right][None, :])
-            open_ &= den * small >= num * np.maximum(sizes[left][:, None], sizes[right][None, :])
-            if left is right:
-                open_ = np.triu(open_, 1)
-            i, j = np.nonzero(open_)
-            if len(i):
-                a, b = ids[left[i]], ids[right[j]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            met = rows_.column("met").combine_chunks()
+            place = met.values.slice(met.offsets[0].as_py(), met.offsets[-1].as_py() - met.offsets[0].as_py()).to_numpy()
+            ends = met.offsets.to_numpy() - met.offsets[0].as_py()
+            owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            for at in range(0, len(left), STRIPE):
+                stripe = left[at:at + STRIPE]
+                open_ = groups[stripe][:, None] != groups[right][None, :]
+                small = np.minimum(sizes[stripe][:, None], sizes[right][None, :])
+                open_ &= den * small >= num * np.maximum(sizes[stripe][:, None], sizes[right][None, :])
+                if left is right:
+                    open_ &= stripe[:, None] < right[None, :]
+                if open_.any():
+                    open_ &= ~meeting(stripe, right, owner, place)
+                i, j = np.nonzero(open_)
+                if len(i):
+                    a, b = ids[stripe[i]], ids[right[j]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -383,14 +461,25 @@ def jaccard_components(
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    source = slim(docs, id_col, text_col)
-    marked = settled(routed(source, num, den, shingle))
+    spark, source = docs.sparkSession, slim(docs, id_col, text_col)
+    # Trees are needed until the shared ones stand; their table goes then.
+    path = fresh_path(spark)
+    named_sets = settled(routed(source, num, den, shingle), path)
+    marked = settled(named_sets.select("doc_id", "n", "digest"))
     classes = marked.where(F.col("n") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # The representative's row carries the trees; of equal ids any row will do.
-    own = marked.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n", "digest", "trees")
-    reps = own.join(classes, [own.digest == classes.digest, own.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id"])
-    rows = reps.select(F.explode("trees").alias("tree"), F.col("doc_id").alias("rep"), "n").distinct()
-    shared = settled(shared_trees(rows))
+    own = named_sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    leads = classes.select(F.col("rep").alias("doc_id"), "digest")
+    shared = None
+    for k in range(NAME_RANGES):
+        mine = F.filter("trees", lambda t: F.pmod(F.xxhash64(t, F.lit(1)), F.lit(NAME_RANGES)) == k)
+        rows = (
+            own.select("doc_id", "digest", "n", F.array_distinct(mine).alias("trees"))
+            .join(leads, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+            .select(F.explode("trees").alias("tree"), F.col("doc_id").alias("rep"), "n"))
+        part = settled(shared_trees(rows))
+        shared = part if shared is None else shared.union(part)
+    dropped(spark, path)
 
     # Of trees with the same sets one is enough.
     sizes = shared.groupBy("tree").agg(
@@ -402,27 +491,38 @@ def jaccard_components(
     sets = settled(sets_of(source.join(near.withColumnRenamed("rep", "doc_id"), "doc_id"), shingle))
     named = trees.groupBy("rep").agg(F.max(F.struct("held", "tree")).alias("home")).select("home.tree").distinct()
     searched = settled(trees.join(named, "tree").select("tree", "held", "weight", "rep"))
-    first = settled(join_trees(together(
-        in_blocks(searched, block).join(sets, "rep").select("tree", "one", "two", "part", "rep", "shingles")), num, den))
+    first, known = None, None
+    for k in range(SEARCH_RANGES):
+        part = searched.where(F.pmod(F.xxhash64("tree", F.lit(2)), F.lit(SEARCH_RANGES)) == k)
+        if known is not None:
+            part = part.join(apart(part, known), "tree")
+        found = settled(join_trees(together(
+            in_blocks(part, block).join(sets, "rep").select("tree", "one", "two", "part", "rep", "shingles")), num, den))
+        first = found if first is None else first.union(found)
+        known = settled(components(first).withColumnRenamed("id", "rep"))
 
-    known = components(first).withColumnRenamed("id", "rep")
     # at most the trees of one set
     met = searched.groupBy("rep").agg(F.collect_list("tree").alias("met"))
-    others = settled(
-        trees.join(named, "tree", "left_anti").join(known, "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep")))
-    open_ = others.groupBy("tree").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tree")
+    others = settled(trees.join(named, "tree", "left_anti"))
+    others = others.join(apart(others, known), "tree").join(known, "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
     left_over = settled(not_met(together(
-        in_blocks(others.join(open_, "tree"), block).join(met, "rep")
+        in_blocks(others, block).join(met, "rep")
         .select("tree", "one", "two", "part", "rep", "n", "component", "met")), num, den).distinct())
     second = settled(verified(left_over, sets, num, den))
     final = components(first.union(second)).withColumnRenamed("id", "rep")
-    leads = classes.join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return marked.select("doc_id", "n", "digest").join(leads, "digest", "left").select(
+    groups = classes.join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    return marked.select("doc_id", "n", "digest").join(groups, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def apart(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Trees (tree) whose sets are in two components or more."""
+    group = F.coalesce("component", "rep")
+    return rows.join(known, "rep", "left").groupBy("tree").agg(
+        F.min(group).alias("low"), F.max(group).alias("high")).where("low < high").select("tree")
+
+
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()

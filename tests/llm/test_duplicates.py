@@ -168,6 +168,68 @@ def test_one_of_each_keeps_columns(spark):
     assert sigtrees.jaccard_components(awkward(spark, [])).count() == 0
 
 
+def test_many_near_copies_list_few_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    sets = []
+    for _ in range(3000):
+        copy = base.copy()
+        copy[rng.integers(0, 200, 4)] = rng.integers(0, 2**63, 4, dtype=np.uint64)
+        sets.append(np.unique(copy))
+    tree, union = sigtrees.Tree(sets, sigtrees.words_for(sets)), sigtrees.Union(len(sets))
+    listed = 0
+    for i, j in sigtrees.search(tree, tree, 85, 100, sigtrees.Joined(union, [(tree, np.arange(len(sets)))])):
+        listed += len(i)
+        for x, y in zip(i.tolist(), j.tolist()):
+            p, q = union.root(x), union.root(y)
+            if p != q and sigtrees.links(sets[x], sets[y], 85, 100):
+                union.link(p, q)
+    assert len(np.unique(union.roots())) == 1
+    assert listed < 300_000  # of 4.5 million
+
+
+def test_pruning_keeps_every_link():
+    rng = np.random.default_rng(8)
+    pool = [rng.integers(0, 2**63, 60, dtype=np.uint64) for _ in range(25)]
+    sets = []
+    for _ in range(400):
+        copy = pool[int(rng.integers(25))].copy()
+        at = rng.integers(0, 60, int(rng.integers(0, 9)))
+        copy[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+        sets.append(np.unique(copy))
+    halves = np.arange(150), np.arange(150, 400)
+    words_ = sigtrees.words_for(sets)
+    trees = [sigtrees.Tree([sets[i] for i in at], words_) for at in halves]
+    union, want = sigtrees.Union(400), sigtrees.Union(400)
+
+    def link(u, x, y):
+        p, q = u.root(x), u.root(y)
+        if p != q and sigtrees.links(sets[x], sets[y], 85, 100):
+            u.link(p, q)
+
+    for i, j in sigtrees.search(*trees, 85, 100, sigtrees.Joined(union, list(zip(trees, halves)))):
+        for x, y in zip(halves[0][i].tolist(), halves[1][j].tolist()):
+            link(union, x, y)
+    for x in halves[0]:
+        for y in halves[1]:
+            link(want, int(x), int(y))
+    assert first_seen(union.roots().tolist()) == first_seen(want.roots().tolist())
+
+
+def first_seen(roots):
+    first = {}
+    return [first.setdefault(r, i) for i, r in enumerate(roots)]
+
+
+def test_sets_that_meet_are_found_in_stripes():
+    rng = np.random.default_rng(2)
+    met = [np.unique(rng.integers(0, 40, 3)) for _ in range(90)]
+    owner, place = np.repeat(np.arange(90), [len(m) for m in met]), np.concatenate(met)
+    stripe, right = np.arange(10, 30), np.arange(40, 90)
+    found = sigtrees.meeting(stripe, right, owner, place)
+    assert (found == [[bool(set(met[i]) & set(met[j])) for j in right] for i in stripe]).all()
+
+
 def test_segments_are_more_than_linked_sets_can_differ():
     router = sigtrees.Router(85, 100)
     rng = np.random.default_rng(1)
