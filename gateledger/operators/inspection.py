@@ -16,6 +16,7 @@ from gateledger import schema as S
 from gateledger.functions import text as X
 from gateledger.functions.principals import header_ci, parse_classification
 from gateledger.functions.results import allow, block, quoted, say
+from gateledger.operators import longmatch
 from gateledger.operators.admission import ContentPattern, regex_content
 from gateledger.operators.joins import asof_join
 from gateledger.operators.ordered import BLOCK_ROWS, halo_blocks, running_sum
@@ -151,31 +152,68 @@ def scope_drift(
 
 
 def regex_output(
-    chunks: DataFrame, patterns: Sequence[ContentPattern], overlap: int = 256,
+    chunks: DataFrame, patterns: Sequence[ContentPattern], overlap: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Content patterns over the response as it grows, one result per chunk.
 
-    Each chunk is scanned with ``overlap - 1`` characters of context instead of
-    the whole text again; matches must be no longer than that.  Once a chunk
-    matches, every later chunk of the response reports a match as well, since
-    the grown text still holds it.
+    Each chunk is scanned with as much context as the longest match of the
+    patterns needs.  Blocking patterns without a bound on their matches are
+    followed by automata over the whole response (``longmatch``).  A pattern
+    that allows neither (a redaction without bound, an unbounded pattern with
+    look-around, or a form that only Java reads) raises ValueError unless
+    ``overlap`` states how long its matches may be.  Once a chunk matches, every
+    later chunk of the response reports a match as well, since the grown text
+    still holds it.
     """
-    tails = marker_tails(chunks, overlap, block_rows)
+    bounds = [_longest(p, overlap) for p in patterns]
+    # one more character, since word borders look behind a match
+    context = max([overlap or 1, *[n + 1 for n in bounds if n is not None]])
+    tails = marker_tails(chunks, context, block_rows) if context > 1 else chunks.where(
+        F.length("text") > 0).withColumn("scan_tail", F.col("text"))
     empties = chunks.where("text = '' or text is null").withColumn("scan_tail", F.lit(""))
-    own = tails.unionByName(empties.select(tails.columns)).withColumn(
-        "_own", regex_content(F.col("scan_tail"), patterns)
-    ).drop("scan_tail")
-    # One row per response at most: its first match.
-    first = own.where(F.col("_own.decision") != "allow").groupBy(KEY).agg(
-        F.min("chunk_idx").alias("_since"), F.min_by("_own", "chunk_idx").alias("_first"))
-    seen = F.when(F.col("_since") <= F.col("chunk_idx"), F.col("_first"))
-    return (
-        own.join(first, KEY, "left")
-        .withColumn("regex_output", F.coalesce(
-            F.when(F.col("_own.decision") != "allow", F.col("_own")), seen, F.col("_own")))
-        .drop("_own", "_since", "_first")
-    )
+    own = tails.unionByName(empties.select(tails.columns))
+    near = [k for k, n in enumerate(bounds) if n is not None]
+    far = [k for k, n in enumerate(bounds) if n is None]
+    for k in near:
+        found = regex_content(F.col("scan_tail"), [patterns[k]])
+        own = own.withColumn(f"_own{k}", F.when(found["decision"] != "allow", found))
+    own = own.drop("scan_tail")
+    if near:
+        # One row per response at most: where each pattern matched first.
+        firsts = own.where(F.coalesce(*[F.col(f"_own{k}") for k in near]).isNotNull()).groupBy(KEY).agg(*[
+            one for k in near for one in (
+                F.min(F.when(F.col(f"_own{k}").isNotNull(), F.col("chunk_idx"))).alias(f"_since{k}"),
+                F.min_by(f"_own{k}", F.when(F.col(f"_own{k}").isNotNull(), F.col("chunk_idx"))).alias(f"_first{k}"))])
+        own = own.join(firsts, KEY, "left")
+    if far:
+        since = longmatch.first_matches(chunks, [patterns[k].pattern for k in far], KEY).groupBy(KEY).agg(*[
+            F.min(F.when(F.col("pattern") == at, F.col("since"))).alias(f"_since{k}") for at, k in enumerate(far)])
+        own = own.join(since, KEY, "left")
+    # The first registered pattern that the text so far matches decides.
+    arms = []
+    for k, p in enumerate(patterns):
+        told = F.coalesce(f"_own{k}", f"_first{k}") if k in near else block(
+            f"pattern '{p.label}' matched", pattern_label=p.label)
+        arms.append(F.when(F.col(f"_since{k}") <= F.col("chunk_idx"), told))
+    return own.withColumn("regex_output", F.coalesce(*arms, allow())).drop(
+        *[f"{c}{k}" for k in range(len(patterns)) for c in ("_own", "_since", "_first")])
+
+
+def _longest(pattern: ContentPattern, overlap: int | None) -> int | None:
+    """Characters of context for a pattern; None if an automaton follows it."""
+    try:
+        longest = longmatch.longest_match(pattern.pattern)
+        if longest is None and pattern.action == "block":
+            longmatch.Automaton(pattern.pattern)
+            return None
+    except (re.error, ValueError) as error:
+        if overlap is None:
+            raise ValueError(f"state an overlap for {pattern.pattern!r}: {error}") from None
+        return overlap
+    if longest is None and overlap is None:
+        raise ValueError(f"state an overlap to redact by {pattern.pattern!r}")
+    return overlap if longest is None else longest
 
 
 def continuing_consent(

@@ -584,6 +584,18 @@ def regex_output(spark, folder):
     return found.select("request_id", "chunk_idx", "regex_output.decision", "regex_output.reason")
 
 
+@query
+def regex_output_long(spark, folder):
+    """Patterns whose matches may run over any number of chunks, and a short one."""
+    rows = T.load(spark, folder, "conversations").select(
+        F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("chunk_idx"), "text")
+    found = inspection.regex_output(rows, [
+        admission.ContentPattern(r"[a-z]ing,[^!?;:]*[a-z]ing,", "block", label="far"),
+        admission.ContentPattern(r"th[a-z]{2}re", "block", label="word"),
+        admission.ContentPattern(r"(?i)ung [a-z\u00df-\u00ff]+[^,]*ung[.]", "block", label="tail")])
+    return found.select("request_id", "chunk_idx", "regex_output.decision", "regex_output.reason")
+
+
 @query
 def first_abort(spark, folder):
     df = inspection.scope_drift(chunk_rows(spark, folder))

@@ -594,6 +594,16 @@ from (select conv_id as request_id, turn as chunk_idx, regexp_matches(string_agg
   over (partition by conv_id order by turn), 'th[a-z]{2}re') as hit from conversations)
 """
 
+SQL["regex_output_long"] = """
+select request_id, chunk_idx, case when label is null then 'allow' else 'block' end as decision,
+  case when label is null then '' else concat('pattern ', chr(39), label, chr(39), ' matched') end as reason
+from (select request_id, chunk_idx, case when regexp_matches(grown, '[a-z]ing,[^!?;:]*[a-z]ing,') then 'far'
+    when regexp_matches(grown, 'th[a-z]{2}re') then 'word'
+    when regexp_matches(grown, '(?i)ung [a-zß-ÿ]+[^,]*ung[.]') then 'tail' end as label
+  from (select conv_id as request_id, turn as chunk_idx, string_agg(text, '')
+    over (partition by conv_id order by turn) as grown from conversations))
+"""
+
 SQL["scope_drift"] = _with(_DRIFT) + """
 select request_id, chunk_idx, accumulated_chars,
   case when kind is null then 'allow' else 'block' end as decision, kind,
