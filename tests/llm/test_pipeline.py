@@ -22,7 +22,7 @@ def test_stages_take_effect(spark, sample):
     assert set(rows[1]) == {d for d, r in marks.items() if not r.predicted}
     judged = as_dict(quality.rules(kept[1], quality.fit(kept[1], labels)))
     assert set(rows[2]) == {d for d, r in judged.items() if r.kept}
-    groups = brute_components([(d, r.text) for d, r in rows[2].items()], 85, 100, 4)
+    groups = brute_components([(d, r.text) for d, r in rows[2].items()], 80, 100, 5)
     assert set(rows[3]) == {d for d, (_, c) in groups.items() if c == d}
     repeats = brute_repeats([(d, r.text) for d, r in rows[3].items()], 100)
     assert set(rows[4]) == set(rows[3])
