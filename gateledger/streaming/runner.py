@@ -37,12 +37,9 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One sample table as a file stream."""
+    """One sample table, a file or a folder of files, as a file stream."""
     from gateledger.sources.tables import load
 
     schema = load(spark, folder, name).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(folder)
-    )
+    # A glob that only this table meets: a stream takes a plain path for a folder.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")

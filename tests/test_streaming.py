@@ -16,6 +16,14 @@ def as_stream(spark, df):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+def test_tables_of_one_or_many_files(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.range(50).repartition(3).write.parquet(f"{folder}/many.parquet")
+    spark.range(7).toPandas().to_parquet(f"{folder}/one.parquet")
+    counts = [runner.run_available(runner.table_stream(spark, folder, n)).count() for n in ("many", "one")]
+    assert counts == [50, 7]
+
+
 def test_budget_twin(spark):
     runner.use_durable_state(spark)
     s = 1_000_000
