@@ -85,3 +85,22 @@ def test_rule_matches(spark):
     assert [g for g in got if g[1] != 1005] == want
     with pytest.raises(ValueError, match="required literal"):
         rulejoin.rule_matches(df, table, "doc_id", inline_limit=1)
+
+
+def test_whole_words_are_joined(spark, monkeypatch):
+    """Rules for whole words leave nothing to test, however many share their syllables."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice(("ban", "Lor", "mi", "tek")) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    around = (r"(^|[^A-Za-z])%s([^A-Za-z]|$)", r"(?i)(?:^|[^a-zA-Z])%s(?:[^A-Za-z]|$)", r"(?<![A-Za-z])%s(?![A-Za-z])", "(?i)%s")
+    rules = [(i, around[i % 4] % w) for i, w in enumerate(words)]
+    joints = (" ", "_", "7", "é", "\n", "ſ", "", "-")
+    texts = ["".join(rng.choice((w, w.upper(), w.lower())) + rng.choice(joints) for w in rng.sample(words, 12)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(rules, "rule_id long, pattern string")
+    index = {r.pattern: r for r in rulejoin.indexed(table).collect()}
+    for i, pattern in rules:
+        row = index[pattern]
+        assert (row.word is None, row.piece is not None) == (i % 4 == 3, i % 4 == 3 and len(words[i]) >= 3)
+    monkeypatch.setattr(rulejoin, "TOGETHER", 4)
+    got = sorted((r.doc_id, r.rule_id) for r in rulejoin.rule_matches(df, table, "doc_id").collect())
+    assert got == sorted((d, i) for d, t in enumerate(texts) for i, p in rules if re.search(p, t, re.ASCII))
