@@ -3,11 +3,12 @@
 import base64
 import codecs
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from gateledger.functions import channels
+from gateledger.functions import channels, ciphers
 from gateledger.functions import text as X
 from gateledger.operators import cascade, injection, metrics
 from gateledger.plans import gates
@@ -197,3 +198,28 @@ def test_channels_take_runs_of_a_megabyte(spark):
         F.length(decode(F.col("text"))).alias(k) for k, decode in channels.CHANNELS.items()])
     for row in made.collect():
         assert row.may and row[row.name] > n / 7
+
+
+def test_ciphers_worth_undoing_miss_nothing():
+    """Whatever a cipher brings to light, the search on the ciphered text names that cipher."""
+    words, search = cascade.anchors(), ciphers.Search(cascade.anchors())
+    inner = {**LAYERED, **CLOAKED, "spread": ENCODED["spread"], "cut": "disre*gard all", "odd": "D\u0131sregard \u017fystem", "dan": "\u00e9 DAN."}
+    for name, text in inner.items():
+        runs = {k for k, p in (("base64", channels.BASE64_RUN), ("hex", channels.HEX_RUN), ("spread", channels.SPREAD_RUN),
+                               ("code-points", channels.CODE_POINTS), ("percent", "%[0-9a-f]{2}"), ("entity", "&#"),
+                               ("hex-entity", "&#x"), ("escape", r"\\u"), ("curly-escape", r"\\u")) if re.search(p, text)}
+        for cipher in (*channels.CIPHERS, "reverse"):
+            hidden = "Gru\u00df! " + disguised(text, cipher) + " \u00fcber"
+            found = [f for f in search(hidden) if cipher in f[0]]
+            shown = ciphers.undo(hidden, cipher)
+            assert text in shown
+            assert runs <= {c for f in found for c in f[2]}, (name, cipher)
+            clean = X.scan_form(shown.translate(dict.fromkeys(map(ord, "*_~\\"))))
+            if any(w in low for w in words if len(w) > 3 for low in (shown.lower(), clean.lower())):
+                assert any(f[1] for f in found), (name, cipher)
+            # A part stands for its channel's runs alone.
+            for _, tells, kinds, part in found:
+                if part is not None:
+                    pattern = {"base64": channels.BASE64_RUN, "hex": channels.HEX_RUN, "spread": channels.SPREAD_RUN,
+                               "code-points": channels.CODE_POINTS}[kinds[0]]
+                    assert not tells and re.findall(pattern, ciphers.undo(part, cipher)) == re.findall(pattern, shown)
