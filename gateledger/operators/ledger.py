@@ -14,6 +14,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,8 @@ from gateledger.functions.crypto import (
 from gateledger.operators.ordered import BLOCK_ROWS, halo_blocks, running_sum
 from gateledger.session import spread
 
+SLICE_ROWS = 2_000
+
 # --------------------------------------------------------------------------
 # Sealing
 # --------------------------------------------------------------------------
@@ -85,23 +88,29 @@ def canonical_parts(anchor_backend: str | None, key_id: str):
 
 
 def _chain_macs(secret: bytes):
-    """Walk sorted batches, carrying one MAC per chain across batches."""
+    """Walk sorted Arrow batches, carrying one MAC per chain across batches."""
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = hmac.new(secret, digestmod=hashlib.sha256)
         chain, prev = None, ""
-        for batch in batches:
-            before_macs, macs = [], []
-            columns = zip(
-                batch.chain_id, batch.link, batch.before, batch.middle, batch.after
-            )
-            for chain_id, link, before, middle, after in columns:
-                if chain_id != chain:
-                    chain, prev = chain_id, link or ""
-                before_macs.append(prev)
-                text = f"{before}{middle}{prev}{after}"
-                prev = hmac.new(secret, text.encode(), hashlib.sha256).hexdigest()
-                macs.append(prev)
-            yield batch.assign(prev_hmac=before_macs, hmac=macs)
+        for whole in batches:
+            # Rows pass as they came; only a slice's texts become Python values.
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                before_macs, macs = [], []
+                columns = zip(*(
+                    batch.column(c).to_pylist() for c in ("chain_id", "link", "before", "middle", "after")))
+                for chain_id, link, before, middle, after in columns:
+                    if chain_id != chain:
+                        chain, prev = chain_id, link or ""
+                    before_macs.append(prev)
+                    mac = start.copy()
+                    mac.update(f"{before}{middle}{prev}{after}".encode())
+                    prev = mac.hexdigest()
+                    macs.append(prev)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(before_macs, pa.string()), pa.array(macs, pa.string())],
+                    names=[*batch.schema.names, "prev_hmac", "hmac"])
 
     return walk
 
@@ -154,7 +163,7 @@ def seal(
             T.StructField("hmac", T.StringType()),
         ]
     )
-    signed = ordered.mapInPandas(_chain_macs(ring.active.secret), schema)
+    signed = ordered.mapInArrow(_chain_macs(ring.active.secret), schema)
     line = F.concat("before", F.lit(',"hmac":"'), "hmac", F.lit('"'), "middle", "prev_hmac", "after")
     return signed.select(
         "chain_id", "seq", *[name for name, _ in S.ENTRY_FIELDS], line.alias("raw_line")

@@ -35,3 +35,27 @@ def test_linked_segments(spark):
     swapped = sealed.where("chain_id <> 'b/00000001'").unionByName(other.where("chain_id = 'b/00000001'"))
     assert ("b/00000001", 1, "segment_changed") in kinds(segments.verify_linked(swapped, heads, RING))
     assert kinds(segments.verify_linked(sealed.limit(0), heads.limit(0), RING)) == []
+
+
+def test_sealing_walks_batches_in_slices(monkeypatch):
+    """A batch's rows become Python values a slice at a time, with one MAC carried over slices and batches."""
+    import hashlib
+    import hmac
+
+    import pyarrow as pa
+
+    from gateledger.operators import ledger
+
+    monkeypatch.setattr(ledger, "SLICE_ROWS", 4)
+    rows = [("a" if i < 13 else "b", "x" if i == 0 else "", f"é{i}<", "|", f">{i}") for i in range(20)]
+    names = ["chain_id", "link", "before", "middle", "after"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in part]) for part in (rows[:11], rows[11:])]
+    out = list(ledger._chain_macs(b"secret")(iter(batches)))
+    assert max(b.num_rows for b in out) == 4
+    prev, want = "x", []
+    for i, (_, _, before, middle, after) in enumerate(rows):
+        prev = "" if i == 13 else prev
+        mac = hmac.new(b"secret", f"{before}{middle}{prev}{after}".encode(), hashlib.sha256).hexdigest()
+        want.append((prev, mac))
+        prev = mac
+    assert [(r["prev_hmac"], r["hmac"]) for b in out for r in b.to_pylist()] == want
