@@ -3,17 +3,22 @@
 Both public word-level schemes cut a text at spaces before any merge, so equal
 pieces between spaces give equal ids.  Each distinct piece is encoded once by
 the library and remembered in a map of bounded size; the map stays with the
-Python worker for later tasks.
+Python worker for later tasks.  Where white space is dropped, a batch of texts is
+cut and its distinct pieces are found by Arrow, so only these meet the map.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import sys
 import types
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -28,6 +33,20 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
+def gathered(ids: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids at each place in turn, and where the ids of each place start, with their end."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+    first = np.cumsum(sizes) - sizes
+    bounds = np.concatenate([[0], np.cumsum(sizes[at])])
+    place = np.repeat(first[at] - bounds[:-1], sizes[at]) + np.arange(bounds[-1])
+    return np.frombuffer(b"".join(ids), "<u4")[place], bounds
+
+
+def cut_at(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    held, ends = ids.tobytes(), (4 * bounds).tolist()
+    return [held[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 class _Split(Exception):
     """A piece whose end is no sure border."""
 
@@ -80,6 +99,10 @@ class PieceEncoder:
         """Ids of a text that begins and ends at sure borders."""
         raise NotImplementedError
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a batch."""
+        return [self.encode(t) for t in texts.to_pylist()]
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -137,6 +160,9 @@ class Encoder(PieceEncoder):
             self.pattern = regex.compile(public_tokenizers.PATTERN)
         else:
             raise ValueError(f"no known word borders in {path}")
+        self.in_lines = regex.compile(r"\n|" + self.pattern.pattern)  # for patterns that drop white space
+        same = os.path.commonprefix(self.marks)
+        self.hint = same[:next((i for i, c in enumerate(same) if c.lower() != c.upper()), len(same))]
         self.remember()
 
     def encode(self, text: str) -> bytes:
@@ -145,6 +171,69 @@ class Encoder(PieceEncoder):
             return self.whole(text)
         return super().encode(text)
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        if not self.drops_space:
+            return super().encode_all(texts)
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        pieces = cut.flatten().dictionary_encode()
+        ids, starts = gathered(
+            self.remembered(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pieces.indices.to_numpy())
+        rows = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])
+        found = cut_at(ids, starts[rows])
+        if self.marks:
+            # marks begin alike; only texts with that beginning can hold one
+            for i in np.flatnonzero(pc.match_substring(texts, self.hint).to_numpy(zero_copy_only=False)).tolist():
+                found[i] = self.encode(texts[i].as_py())
+        return found
+
+    def remembered(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; those not seen yet go through the library together."""
+        found = list(map(self.pieces.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            for i, ids in zip(new, self.chunks([pieces[i] for i in new]), strict=True):
+                found[i] = ids
+            if len(self.pieces) + len(new) > REMEMBERED:
+                self.pieces.clear()
+            self.pieces.update((pieces[i], found[i]) for i in new)
+        return found
+
+    def chunks(self, texts: list[str]) -> list[bytes]:
+        """``chunk`` of many texts without line ends."""
+        joined = "\n".join(texts)
+        if max(joined, default="") >= PLAIN_BELOW:
+            plain = [t for t in texts if not t or max(t) < PLAIN_BELOW]
+            if len(plain) < len(texts):
+                ids = iter(self.chunks(plain))
+                return [next(ids) if not t or max(t) < PLAIN_BELOW else self.whole(t) for t in texts]
+        found = pa.array(self.in_lines.findall(joined.lower() if self.lower else joined), pa.string()).dictionary_encode()
+        words, places = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        line_end = words.index("\n") if len(texts) > 1 else len(words)
+        words[line_end:line_end + 1] = []
+        ids = self.together(words)
+        if len(texts) > 1:
+            ids.insert(line_end, b"")
+        ids, starts = gathered(ids, places)
+        ends = np.flatnonzero(places == line_end)
+        return cut_at(ids, np.concatenate([[0], starts[ends], starts[-1:]]))
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, by the library's model for those not seen yet."""
+        found = list(map(self.words.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            # printable ASCII stands for itself
+            spelled = [w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(self.letters)
+                       for w in map(words.__getitem__, new)]
+            ids = [[t.id for t in tokens] for tokens in map(self.model.tokenize, spelled)]
+            bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+            for i, held in zip(new, cut_at(np.fromiter(chain.from_iterable(ids), "<u4", bounds[-1]), bounds), strict=True):
+                found[i] = held
+            if len(self.words) + len(new) > REMEMBERED:
+                self.words.clear()
+            self.words.update((words[i], found[i]) for i in new)
+        return found
+
     def chunk(self, text: str) -> bytes:
         if not text:
             return b""

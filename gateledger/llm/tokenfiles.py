@@ -30,6 +30,7 @@ from gateledger.llm.common import slices, slim, table
 from gateledger.session import fresh_path
 
 BLOCK_IDS = 1 << 19
+SLICE_BYTES = 1 << 20  # of text encoded at a time; a worker's arrays are some ten times that
 SCHEMA = (
     "file int, block int, first_doc long, n_ids long, doc_ids array<long>, lengths array<long>, "
     "continues boolean, payload binary"
@@ -65,9 +66,9 @@ def write_ids(
             return row
 
         for batch in batches:
-            for part in slices(batch):
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encoder.encode(text) + end
+            for part in slices(batch, SLICE_BYTES):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1)), strict=True):
+                    ids += end
                     seen += 1
                     while ids:
                         room = 4 * (block_ids - n)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -47,6 +48,25 @@ def test_remembered_pieces_give_the_library_ids(name):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library(text), text
 
 
+@pytest.mark.parametrize("kept", [3, 1_000_000])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_batches_give_the_library_ids(monkeypatch, name, kept):
+    monkeypatch.setattr(encode, "REMEMBERED", kept)
+    encoder, library = encode.Encoder(P.path(name)), plain(name)
+    texts = [*random_texts(), "", " ", "\n", "x <|endoftext|> y", "a<|startoftext|>b <|ENDOFTEXT|> <|", "ΑΣ ΣΑΣ İ", "a\x00b \x7f's 'S"]
+    for some in (texts, texts[::-1], texts[:1], ["one"], ["", "\n"], []):
+        found = encoder.encode_all(pa.array(some, pa.string()))
+        assert [np.frombuffer(f, "<u4").tolist() for f in found] == [library(t) for t in some]
+
+
+def test_a_batch_takes_each_piece_once(monkeypatch):
+    encoder, met = encode.Encoder(P.path("word_bpe_49k.json")), []
+    remembered = encoder.remembered
+    monkeypatch.setattr(encoder, "remembered", lambda pieces: met.extend(pieces) or remembered(pieces))
+    assert len(set(encoder.encode_all(pa.array(["the same words again"] * 500)))) == 1
+    assert sorted(met) == ["again", "same", "the", "words"]
+
+
 def test_small_memory_changes_nothing(monkeypatch):
     monkeypatch.setattr(encode, "REMEMBERED", 3)
     encoder, library = encode.Encoder(P.path("byte_bpe_50k.json")), plain("byte_bpe_50k.json")
@@ -87,6 +107,23 @@ def test_range_coder_round_trip(n, kind):
         assert len(block) < n
 
 
+def test_order_0_is_counted_a_few_times_a_block(monkeypatch):
+    ids = np.minimum(np.random.default_rng(4).geometric(0.001, 1 << 19), 49407).astype("<u4")
+    summed, plain_sum = [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda a, *args, **more: summed.append(len(a)) or plain_sum(a, *args, **more))
+    block = rangecoder.pack_ids(ids, 49408)
+    assert (rangecoder.unpack_ids(block) == ids).all()
+    assert sum(n >= 49408 for n in summed) <= 32  # once for each of 128 rows, both ways, would be 256
+
+
+@pytest.mark.parametrize("size", [1, 2, 300, 1 << 16, 1 << 17, 1 << 20, 1 << 23])
+def test_range_coder_vocabularies(size):
+    # runs of the last id lie at the end of the range, where carries are
+    rng = np.random.default_rng(size)
+    ids = np.where(rng.random(30_000) < 0.7, size - 1, rng.integers(0, size, 30_000)).astype("<u4")
+    assert (rangecoder.unpack_ids(rangecoder.pack_ids(ids, size)) == ids).all()
+
+
 def test_damaged_blocks_are_refused():
     block = bytearray(rangecoder.pack_ids(np.arange(500, dtype="<u4"), 600))
     for at in (8, len(block) // 2, len(block) - 60):
