@@ -487,17 +487,22 @@ def jaccard_components(
     single = sizes.groupBy("held", "weight", "mark").agg(F.min("tree").alias("tree")).select("tree", "held", "weight")
     trees = settled(shared.join(single, "tree"))
 
-    near = trees.select("rep").distinct()
-    sets = settled(sets_of(source.join(near.withColumnRenamed("rep", "doc_id"), "doc_id"), shingle))
+    # A table of its own: its size is known when the join with the texts is planned.
+    near = settled(trees.select(F.col("rep").alias("doc_id")).distinct())
     named = trees.groupBy("rep").agg(F.max(F.struct("held", "tree")).alias("home")).select("home.tree").distinct()
     searched = settled(trees.join(named, "tree").select("tree", "held", "weight", "rep"))
+    # Each set carries its searched trees, so a range moves only the sets that it needs.
+    at = searched.groupBy("rep").agg(F.collect_list(F.struct("tree", "held", "weight")).alias("at"))
+    sets = settled(sets_of(source.join(near, "doc_id"), shingle).join(at, "rep", "left"))
     first, known = None, None
     for k in range(SEARCH_RANGES):
-        part = searched.where(F.pmod(F.xxhash64("tree", F.lit(2)), F.lit(SEARCH_RANGES)) == k)
+        mine = lambda tree: F.pmod(F.xxhash64(tree, F.lit(2)), F.lit(SEARCH_RANGES)) == k  # noqa: B023, E731
+        part = sets.select("rep", "shingles", F.explode(F.filter("at", lambda t: mine(t["tree"]))).alias("t")).select(
+            "t.tree", "t.held", "t.weight", "rep", "shingles")
         if known is not None:
-            part = part.join(apart(part, known), "tree")
+            part = part.join(apart(searched.where(mine(F.col("tree"))), known), "tree")
         found = settled(join_trees(together(
-            in_blocks(part, block).join(sets, "rep").select("tree", "one", "two", "part", "rep", "shingles")), num, den))
+            in_blocks(part, block).select("tree", "one", "two", "part", "rep", "shingles")), num, den))
         first = found if first is None else first.union(found)
         known = settled(components(first).withColumnRenamed("id", "rep"))
 

@@ -153,6 +153,16 @@ def test_join_equals_brute_force(spark, seed, block):
     assert {d: (r.n_shingles, r.component_id) for d, r in found.items()} == want
 
 
+def test_a_range_moves_only_its_sets(spark, monkeypatch):
+    searched, join_trees = [], sigtrees.join_trees
+    monkeypatch.setattr(sigtrees, "join_trees", lambda rows, *rest: searched.append(rows) or join_trees(rows, *rest))
+    sigtrees.jaccard_components(awkward(spark, near_copies(1)))
+    plans = [rows._jdf.queryExecution().optimizedPlan().toString() for rows in searched]
+    # sets carry their trees; they are not joined with the table of all sets in each range
+    assert len(plans) == sigtrees.SEARCH_RANGES and "Join" not in plans[0]
+    assert sum(rows.count() for rows in searched) > 0
+
+
 def test_other_thresholds(spark):
     texts = near_copies(5, 90)
     found = as_dict(sigtrees.jaccard_components(awkward(spark, texts), num=6, den=10, shingle=2))
