@@ -27,7 +27,7 @@ blocks of a tree are searched together, so a task's memory has a bound.
 Tree names are walked in ranges.  Each range is reduced to trees that sets share,
 and its shuffle is freed, before the next; the trees to search are walked in
 ranges too, and after each one trees whose sets are all in one component are left
-out of those to come.  The links found are the same; peak disk falls with the
+out of those to come: the names of the others are sent to the blocks.  The links found are the same; peak disk falls with the
 number of ranges.
 
 Defined results: null and empty texts have no shingles and are alone; repeated
@@ -311,11 +311,29 @@ def sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return left, left if one == two else np.flatnonzero(part == two)
 
 
-def join_trees(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges that connect the linked sets of every two blocks, verified where they are found."""
+def open_blocks(trees: DataFrame, block: int) -> DataFrame:
+    """A row without a set for every two blocks of the trees (tree, held, weight) still to search."""
+    parts = F.greatest(F.ceil(F.col("weight") / block), F.ceil(F.col("held") / LEAVES))
+    return (
+        trees.withColumn("one", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        .withColumn("two", F.explode(F.sequence(F.col("one"), parts - 1)))
+        .select("tree", "one", "two", F.lit(None).cast("long").alias("part"),
+                F.lit(None).cast("long").alias("rep"), F.lit(None).cast("binary").alias("shingles")))
+
+
+def join_trees(rows: DataFrame, num: int, den: int, marked: bool = False) -> DataFrame:
+    """Edges that connect the linked sets of every two blocks, verified where they are found.
+
+    ``marked``: only blocks with a row of ``open_blocks`` are searched.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_ in grouped(batches, ["tree", "one", "two"]):
+            if marked:
+                real = rows_.column("rep").is_valid()
+                if rows_.column("rep").null_count == 0 or rows_.column("rep").null_count == rows_.num_rows:
+                    continue
+                rows_ = rows_.filter(real).combine_chunks()
             left, right = sides(rows_)
             if rows_.num_rows < 2 or not len(left) or not len(right):
                 continue
@@ -458,9 +476,12 @@ def shared_trees(rows: DataFrame) -> DataFrame:
 
 def jaccard_components(
     docs: DataFrame, num: int = 85, den: int = 100, shingle: int = 4, block: int = BLOCK,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", spent: list[str] | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+    """One row per document: doc_id, n_shingles, component_id.
+
+    ``spent`` gets the paths of large tables that the result does not read.
+    """
     spark, source = docs.sparkSession, slim(docs, id_col, text_col)
     # Trees are needed until the shared ones stand; their table goes then.
     path = fresh_path(spark)
@@ -487,57 +508,74 @@ def jaccard_components(
     single = sizes.groupBy("held", "weight", "mark").agg(F.min("tree").alias("tree")).select("tree", "held", "weight")
     trees = settled(shared.join(single, "tree"))
 
-    # A table of its own: its size is known when the join with the texts is planned.
-    near = settled(trees.select(F.col("rep").alias("doc_id")).distinct())
     named = trees.groupBy("rep").agg(F.max(F.struct("held", "tree")).alias("home")).select("home.tree").distinct()
     searched = settled(trees.join(named, "tree").select("tree", "held", "weight", "rep"))
-    # Each set carries its searched trees, so a range moves only the sets that it needs.
-    at = searched.groupBy("rep").agg(F.collect_list(F.struct("tree", "held", "weight")).alias("at"))
-    sets = settled(sets_of(source.join(near, "doc_id"), shingle).join(at, "rep", "left"))
-    first, known = None, None
+    # Each set carries its searched trees, so a range moves only the sets that it needs; they
+    # meet the text before it becomes a set, since sets take more room than texts.
+    at = searched.select("rep", F.struct("tree", "held", "weight").alias("t"))
+    near = settled(
+        trees.select("rep").distinct().select("rep", F.lit(None).cast(at.schema["t"].dataType).alias("t")).union(at)
+        .groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("t").alias("at")))
+    path = fresh_path(spark)
+    sets = settled(sets_of(source.join(near, "doc_id"), shingle), path)
+    if spent is not None:
+        spent.append(path)
+    known = None
     for k in range(SEARCH_RANGES):
         mine = lambda tree: F.pmod(F.xxhash64(tree, F.lit(2)), F.lit(SEARCH_RANGES)) == k  # noqa: B023, E731
         part = sets.select("rep", "shingles", F.explode(F.filter("at", lambda t: mine(t["tree"]))).alias("t")).select(
             "t.tree", "t.held", "t.weight", "rep", "shingles")
+        part = in_blocks(part, block).select("tree", "one", "two", "part", "rep", "shingles")
         if known is not None:
-            part = part.join(apart(searched.where(mine(F.col("tree"))), known), "tree")
-        found = settled(join_trees(together(
-            in_blocks(part, block).select("tree", "one", "two", "part", "rep", "shingles")), num, den))
-        first = found if first is None else first.union(found)
-        known = settled(components(first).withColumnRenamed("id", "rep"))
+            # Sets are moved once: what is left to search comes to the blocks, not the sets to it.
+            part = part.union(open_blocks(apart(searched.where(mine(F.col("tree"))), known), block))
+        found = settled(join_trees(together(part), num, den, known is not None))
+        known = settled(grown(known, found))
 
     # at most the trees of one set
     met = searched.groupBy("rep").agg(F.collect_list("tree").alias("met"))
     others = settled(trees.join(named, "tree", "left_anti"))
-    others = others.join(apart(others, known), "tree").join(known, "rep", "left").withColumn(
+    others = others.join(apart(others, known).select("tree"), "tree").join(known, "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
     left_over = settled(not_met(together(
         in_blocks(others, block).join(met, "rep")
         .select("tree", "one", "two", "part", "rep", "n", "component", "met")), num, den).distinct())
     second = settled(verified(left_over, sets, num, den))
-    final = components(first.union(second)).withColumnRenamed("id", "rep")
+    final = grown(known, second)
     groups = classes.join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return marked.select("doc_id", "n", "digest").join(groups, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def grown(known: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components (rep, component) after more links; those known count as one link for each set."""
+    if known is not None:
+        found = known.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(found)
+    return components(found).withColumnRenamed("id", "rep")
+
+
 def apart(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Trees (tree) whose sets are in two components or more."""
+    """Trees (tree, held, weight) whose sets are in two components or more."""
     group = F.coalesce("component", "rep")
-    return rows.join(known, "rep", "left").groupBy("tree").agg(
-        F.min(group).alias("low"), F.max(group).alias("high")).where("low < high").select("tree")
+    return rows.join(known, "rep", "left").groupBy("tree", "held", "weight").agg(
+        F.min(group).alias("low"), F.max(group).alias("high")).where("low < high").select("tree", "held", "weight")
 
 
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
+    """Sets of documents (doc_id, text, at); what is in ``at`` goes with them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
         for batch in batches:
             for part in slices(batch):
                 sets = [shingle_set(t, shingle, hashes) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
+                    part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), part.column(2),
+                ], ["rep", "shingles", "at"])
 
-    return docs.select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, "rep long, shingles binary")
+    kind = docs.schema["at"].dataType.simpleString()
+    return docs.select("doc_id", "text", "at").dropDuplicates(["doc_id"]).mapInArrow(
+        run, f"rep long, shingles binary, at {kind}")
 
 
 def one_of_each(docs: DataFrame, num: int = 85, den: int = 100, shingle: int = 4,
@@ -546,7 +584,10 @@ def one_of_each(docs: DataFrame, num: int = 85, den: int = 100, shingle: int = 4
 
     Of rows that repeat an id one stays; rows with a null id stay.
     """
-    found = jaccard_components(docs, num, den, shingle, BLOCK, id_col, text_col)
+    spent: list[str] = []
+    found = jaccard_components(docs, num, den, shingle, BLOCK, id_col, text_col, spent)
+    for path in spent:
+        dropped(docs.sparkSession, path)
     leading = found.where(F.col("doc_id") == F.col("component_id")).select(
         F.col("doc_id").alias("_lead_")).distinct()
     kept = docs.join(leading, docs[id_col].cast("long") == leading["_lead_"], "left_semi").dropDuplicates([id_col])

@@ -163,6 +163,39 @@ def test_a_range_moves_only_its_sets(spark, monkeypatch):
     assert sum(rows.count() for rows in searched) > 0
 
 
+def test_sets_move_once_a_range_and_never_meet_their_trees_again(spark, monkeypatch):
+    searched, join_trees = [], sigtrees.join_trees
+    monkeypatch.setattr(sigtrees, "join_trees", lambda rows, *rest: searched.append(rows) or join_trees(rows, *rest))
+    written, settled = [], sigtrees.settled
+    monkeypatch.setattr(sigtrees, "settled", lambda df, *rest: written.append(df) or settled(df, *rest))
+    texts = near_copies(6)
+    found = as_dict(sigtrees.jaccard_components(awkward(spark, texts)))
+    assert {d: (r.n_shingles, r.component_id) for d, r in found.items()} == brute_components(texts, 85, 100, 4)
+
+    def above_sets(plan):
+        """Names of the nodes between the root and the scan that has the sets."""
+        if plan.children().isEmpty():
+            return [] if "shingles" in plan.output().toString() else None
+        for k in range(plan.children().size()):
+            below = above_sets(plan.children().apply(k))
+            if below is not None:
+                return [plan.nodeName(), *below]
+        return None
+
+    for rows in searched:
+        assert "Join" not in above_sets(rows._jdf.queryExecution().optimizedPlan())
+    sets = next(df for df in written if "shingles" in df.columns)
+    plan = sets._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "MapInArrow"  # nothing is joined to sets once they are made
+
+
+def test_the_pipeline_leaves_no_sets_behind(spark, monkeypatch):
+    gone, dropped = [], sigtrees.dropped
+    monkeypatch.setattr(sigtrees, "dropped", lambda session, path: gone.append(path) or dropped(session, path))
+    kept = sigtrees.one_of_each(awkward(spark, near_copies(7, 40)))
+    assert len(gone) == 2 and kept.count() > 0
+
+
 def test_other_thresholds(spark):
     texts = near_copies(5, 90)
     found = as_dict(sigtrees.jaccard_components(awkward(spark, texts), num=6, den=10, shingle=2))
