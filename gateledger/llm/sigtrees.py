@@ -57,6 +57,7 @@ ROOM = 32  # bits of a bitmap for each shingle
 NAME_RANGES = 6  # of tree names
 SEARCH_RANGES = 4  # of trees searched with their sets
 STRIPE = 256  # rows compared at a time
+PIECE = 1 << 22  # bytes of a matrix that is made on the way
 WORD_LIMIT = 1_000_000
 
 
@@ -221,8 +222,10 @@ def search(
     """Leaf pairs (positions in the input) that may link, by dual traversal.
 
     Links that the caller adds to ``joined.union`` on the way prune what follows.
+    Long sets have wide bitmaps, so fewer of their pairs are compared at a time.
     """
     itself = one is two
+    chunk = max(1, min(chunk, PIECE // (8 * one.levels[0][0].shape[1])))
     stack = [(len(one.levels) - 1, len(two.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         k, m, i, j = stack.pop()
@@ -359,24 +362,33 @@ def join_trees(rows: DataFrame, num: int, den: int, marked: bool = False) -> Dat
 def meeting(stripe: np.ndarray, right: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Which rows of a stripe share a place with which rows of the other side.
 
-    The matrices are as wide as the places of the stripe alone.
+    The matrices are as wide as some of the stripe's places, a piece after another.
     """
-    here = np.isin(owner, stripe)
-    names = np.unique(place[here])
+    out = np.zeros((len(stripe), len(right)), bool)
+    names = np.unique(place[np.isin(owner, stripe)])
     if not len(names):
-        return np.zeros((len(stripe), len(right)), bool)
+        return out
     column = np.minimum(np.searchsorted(names, place), len(names) - 1)
     known = names[column] == place
-
-    def member(rows: np.ndarray) -> np.ndarray:
+    owner, column = owner[known], column[known]
+    spots = []
+    for rows in (stripe, right):
         spot = np.full(int(max(owner.max(), rows.max())) + 1, -1)
         spot[rows] = np.arange(len(rows))
-        use = known & (spot[owner] >= 0)
-        grid = np.zeros((len(rows), len(names)), np.float32)
-        grid[spot[owner[use]], column[use]] = 1
-        return grid
-
-    return member(stripe) @ member(right).T > 0
+        use = spot[owner] >= 0
+        at = column[use]
+        order = np.argsort(at, kind="stable")
+        spots.append((spot[owner[use]][order], at[order]))
+    wide = max(1, PIECE // (4 * max(len(stripe), len(right))))
+    for low in range(0, len(names), wide):
+        high, grids = min(low + wide, len(names)), []
+        for rows, (row, at) in zip((stripe, right), spots, strict=True):
+            own = slice(*np.searchsorted(at, [low, high]))
+            grid = np.zeros((len(rows), high - low), np.float32)
+            grid[row[own], at[own] - low] = 1
+            grids.append(grid)
+        out |= grids[0] @ grids[1].T > 0
+    return out
 
 
 def not_met(rows: DataFrame, num: int, den: int) -> DataFrame:

@@ -189,6 +189,33 @@ def test_sets_move_once_a_range_and_never_meet_their_trees_again(spark, monkeypa
     assert plan.nodeName() == "MapInArrow"  # nothing is joined to sets once they are made
 
 
+def test_long_sets_are_compared_a_few_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 8000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[5 * k:], rng.integers(0, 2**63, 900, dtype=np.uint64)])) for k in range(40)]
+    tree, widest, count = sigtrees.Tree(sets, sigtrees.words_for(sets)), [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: widest.append(x.nbytes) or count(x))
+    joined = sigtrees.Joined(sigtrees.Union(len(sets)), [(tree, np.arange(len(sets)))])
+    listed = {(min(x, y), max(x, y)) for i, j in sigtrees.search(tree, tree, 80, 100, joined) for x, y in zip(i.tolist(), j.tolist())}
+    linked = {(x, y) for x in range(40) for y in range(x + 1, 40) if sigtrees.links(sets[x], sets[y], 80, 100)}
+    assert linked and linked <= listed
+    assert max(widest) <= 1 << 22
+
+
+def test_sets_with_very_many_places_meet_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    met = [np.unique(rng.integers(0, 2**40, 3000)) for _ in range(400)]
+    for k in range(0, 400, 7):
+        met[k][0] = 5
+    owner, place = np.repeat(np.arange(400), [len(m) for m in met]), np.concatenate(met)
+    widest, zeros = [], np.zeros
+    monkeypatch.setattr(np, "zeros", lambda *a, **b: widest.append((x := zeros(*a, **b)).nbytes) or x)
+    stripe, right = np.arange(0, 100), np.arange(100, 400)
+    found = sigtrees.meeting(stripe, right, owner, place)
+    assert (found == ((stripe % 7 == 0)[:, None] & (right % 7 == 0)[None, :])).all()
+    assert max(widest) <= 1 << 22
+
+
 def test_the_pipeline_leaves_no_sets_behind(spark, monkeypatch):
     gone, dropped = [], sigtrees.dropped
     monkeypatch.setattr(sigtrees, "dropped", lambda session, path: gone.append(path) or dropped(session, path))
