@@ -56,6 +56,7 @@ LEAVES = 4096  # sets of a block
 ROOM = 32  # bits of a bitmap for each shingle
 NAME_RANGES = 6  # of tree names
 SEARCH_RANGES = 4  # of trees searched with their sets
+TEXT_RANGES = 3  # of texts made sets of
 STRIPE = 256  # rows compared at a time
 PIECE = 1 << 22  # bytes of a matrix that is made on the way
 WORD_LIMIT = 1_000_000
@@ -503,14 +504,15 @@ def jaccard_components(
     # The representative's row carries the trees; of equal ids any row will do.
     own = named_sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     leads = classes.select(F.col("rep").alias("doc_id"), "digest")
-    shared = None
+    shared, parts = None, []
     for k in range(NAME_RANGES):
         mine = F.filter("trees", lambda t: F.pmod(F.xxhash64(t, F.lit(1)), F.lit(NAME_RANGES)) == k)
         rows = (
             own.select("doc_id", "digest", "n", F.array_distinct(mine).alias("trees"))
             .join(leads, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
             .select(F.explode("trees").alias("tree"), F.col("doc_id").alias("rep"), "n"))
-        part = settled(shared_trees(rows))
+        parts.append(fresh_path(spark))
+        part = settled(shared_trees(rows), parts[-1])
         shared = part if shared is None else shared.union(part)
     dropped(spark, path)
 
@@ -519,6 +521,8 @@ def jaccard_components(
         F.count("*").alias("held"), F.sum("n").alias("weight"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
     single = sizes.groupBy("held", "weight", "mark").agg(F.min("tree").alias("tree")).select("tree", "held", "weight")
     trees = settled(shared.join(single, "tree"))
+    for path in parts:
+        dropped(spark, path)
 
     named = trees.groupBy("rep").agg(F.max(F.struct("held", "tree")).alias("home")).select("home.tree").distinct()
     searched = settled(trees.join(named, "tree").select("tree", "held", "weight", "rep"))
@@ -528,11 +532,14 @@ def jaccard_components(
     near = settled(
         trees.select("rep").distinct().select("rep", F.lit(None).cast(at.schema["t"].dataType).alias("t")).union(at)
         .groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("t").alias("at")))
-    path = fresh_path(spark)
-    sets = settled(sets_of(source.join(near, "doc_id"), shingle), path)
-    if spent is not None:
-        spent.append(path)
-    known = None
+    sets, known = None, None
+    for k in range(TEXT_RANGES):
+        texts = source.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(TEXT_RANGES)) == k)
+        path = fresh_path(spark)
+        part = settled(sets_of(texts.join(near, "doc_id"), shingle), path)
+        sets = part if sets is None else sets.union(part)
+        if spent is not None:
+            spent.append(path)
     for k in range(SEARCH_RANGES):
         mine = lambda tree: F.pmod(F.xxhash64(tree, F.lit(2)), F.lit(SEARCH_RANGES)) == k  # noqa: B023, E731
         part = sets.select("rep", "shingles", F.explode(F.filter("at", lambda t: mine(t["tree"]))).alias("t")).select(
@@ -552,7 +559,12 @@ def jaccard_components(
     left_over = settled(not_met(together(
         in_blocks(others, block).join(met, "rep")
         .select("tree", "one", "two", "part", "rep", "n", "component", "met")), num, den).distinct())
-    second = settled(verified(left_over, sets, num, den))
+    # The sets of such pairs are few, and only those are moved to either side.
+    ends = settled(left_over.select(F.col("a").alias("rep")).union(left_over.select("b")).distinct())
+    path = fresh_path(spark)
+    few = settled(sets.select("rep", "shingles").join(ends, "rep", "left_semi"), path)
+    second = settled(verified(left_over, few, num, den))
+    dropped(spark, path)
     final = grown(known, second)
     groups = classes.join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return marked.select("doc_id", "n", "digest").join(groups, "digest", "left").select(
