@@ -13,7 +13,7 @@ import json
 import os
 import sys
 import types
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +23,7 @@ import regex
 from tokenizers import Tokenizer
 
 REMEMBERED = 1_000_000  # pieces; the map starts anew beyond that
+RESTING = 200_000  # pieces that stay between tasks
 PLAIN_BELOW = "ɐ"  # letters that every Unicode version classes alike
 
 
@@ -95,6 +96,17 @@ class PieceEncoder:
         self.words: dict[str, bytes] = {}
         self.pieces = _Alone(self) if self.drops_space else _Spaced(self)
 
+    def rest(self) -> None:
+        """Forget all but the pieces met first, at the end of a task: a worker may wait long for its next.
+
+        Frequent pieces come early, so most of what later tasks look up stays.
+        """
+        for known in (self.words, self.pieces):
+            if len(known) > RESTING:
+                first = dict(islice(known.items(), RESTING))
+                known.clear()
+                known.update(first)
+
     def chunk(self, text: str) -> bytes:
         """Ids of a text that begins and ends at sure borders."""
         raise NotImplementedError

@@ -53,6 +53,7 @@ def pieces(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.rest()
 
     return slim(docs, id_col, text_col).mapInArrow(run, PIECES)
 

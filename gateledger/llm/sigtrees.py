@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateledger.llm.common import dropped, settled, slices, slim, table
+from gateledger.llm.common import dropped, few_files, settled, slices, slim, table
 from gateledger.llm.components import components
 from gateledger.session import fresh_path
 
@@ -499,7 +499,7 @@ def jaccard_components(
     # Trees are needed until the shared ones stand; their table goes then.
     path = fresh_path(spark)
     named_sets = settled(routed(source, num, den, shingle), path)
-    marked = settled(named_sets.select("doc_id", "n", "digest"))
+    marked = settled(few_files(named_sets.select("doc_id", "n", "digest"), named_sets.count()))
     classes = marked.where(F.col("n") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # The representative's row carries the trees; of equal ids any row will do.
     own = named_sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -520,18 +520,19 @@ def jaccard_components(
     sizes = shared.groupBy("tree").agg(
         F.count("*").alias("held"), F.sum("n").alias("weight"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
     single = sizes.groupBy("held", "weight", "mark").agg(F.min("tree").alias("tree")).select("tree", "held", "weight")
-    trees = settled(shared.join(single, "tree"))
+    trees = settled(few_files(shared.join(single, "tree"), shared.count()))
+    n_rows = trees.count()
     for path in parts:
         dropped(spark, path)
 
     named = trees.groupBy("rep").agg(F.max(F.struct("held", "tree")).alias("home")).select("home.tree").distinct()
-    searched = settled(trees.join(named, "tree").select("tree", "held", "weight", "rep"))
+    searched = settled(few_files(trees.join(named, "tree").select("tree", "held", "weight", "rep"), n_rows))
     # Each set carries its searched trees, so a range moves only the sets that it needs; they
     # meet the text before it becomes a set, since sets take more room than texts.
     at = searched.select("rep", F.struct("tree", "held", "weight").alias("t"))
-    near = settled(
+    near = settled(few_files(
         trees.select("rep").distinct().select("rep", F.lit(None).cast(at.schema["t"].dataType).alias("t")).union(at)
-        .groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("t").alias("at")))
+        .groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("t").alias("at")), n_rows))
     sets, known = None, None
     for k in range(TEXT_RANGES):
         texts = source.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(TEXT_RANGES)) == k)
@@ -553,14 +554,15 @@ def jaccard_components(
 
     # at most the trees of one set
     met = searched.groupBy("rep").agg(F.collect_list("tree").alias("met"))
-    others = settled(trees.join(named, "tree", "left_anti"))
+    others = settled(few_files(trees.join(named, "tree", "left_anti"), n_rows))
     others = others.join(apart(others, known).select("tree"), "tree").join(known, "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
     left_over = settled(not_met(together(
         in_blocks(others, block).join(met, "rep")
         .select("tree", "one", "two", "part", "rep", "n", "component", "met")), num, den).distinct())
     # The sets of such pairs are few, and only those are moved to either side.
-    ends = settled(left_over.select(F.col("a").alias("rep")).union(left_over.select("b")).distinct())
+    ends = settled(few_files(
+        left_over.select(F.col("a").alias("rep")).union(left_over.select("b")).distinct(), 2 * left_over.count()))
     path = fresh_path(spark)
     few = settled(sets.select("rep", "shingles").join(ends, "rep", "left_semi"), path)
     second = settled(verified(left_over, few, num, den))
@@ -575,7 +577,7 @@ def grown(known: DataFrame | None, found: DataFrame) -> DataFrame:
     """Components (rep, component) after more links; those known count as one link for each set."""
     if known is not None:
         found = known.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(found)
-    return components(found).withColumnRenamed("id", "rep")
+    return components(found, found.count()).withColumnRenamed("id", "rep")
 
 
 def apart(rows: DataFrame, known: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gateledger.llm import capfilters, components, sigtrees, suffixindex
+from gateledger.llm import capfilters, common, components, sigtrees, suffixindex
 from tests.llm.helpers import as_dict, awkward, odd_texts, words
 
 
@@ -434,3 +434,34 @@ def test_vectors_beyond_the_range_of_squares():
     rows = pa.array([[1e200, 1e200], [1e-200, 1.0001e-200], [0.0, 0.0], [float("inf"), 1.0], None], pa.list_(pa.float64()))
     at, unit = unit_rows(rows)
     assert at.tolist() == [0, 1] and float(unit[0] @ unit[1]) > 0.999999
+
+
+def test_components_fill_few_files(spark, monkeypatch):
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    written, write = [], common.durable_table
+    monkeypatch.setattr(common, "durable_table", lambda df, path=None: written.append(write(df, path)) or written[-1])
+    rng = random.Random(9)
+    edges = [(rng.randrange(2000), rng.randrange(2000)) for _ in range(1200)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = components.components(spark.createDataFrame(edges, "a long, b long"))
+        got = {r["id"]: r.component for r in found.collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((root(a), root(b)))
+        up[q] = p
+    met = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: root(x) for x in met}
+    assert len(written) >= 5
+    assert sum(len(t.inputFiles()) for t in written[1:]) < len(written)

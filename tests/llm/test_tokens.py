@@ -74,6 +74,32 @@ def test_small_memory_changes_nothing(monkeypatch):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library(text)
 
 
+def test_little_stays_between_tasks(monkeypatch):
+    monkeypatch.setattr(encode, "RESTING", 3, raising=False)
+    encode._kept().clear()
+    path, library = P.path("byte_bpe_50k.json"), plain("byte_bpe_50k.json")
+    texts = ["first words stay of this text " + t for t in random_texts(20)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    task = []
+
+    class Docs:  # the task's function, run here
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            task.append(run)
+
+    monkeypatch.setattr(packing, "slim", lambda docs, *_: docs)
+    packing.pieces(Docs(), path, 1, 2048)
+    found = [list(task[0](iter([batch]))) for _ in range(2)]
+    assert found[0] == found[1]
+    assert found[0][0].column(4).to_pylist() == [len(library(t)) + 1 for t in texts]
+    encoder = encode.shared(path)
+    assert list(encoder.pieces) == ["words", "stay", "of"] and len(encoder.words) == 3
+    encode._kept().clear()
+
+
 def test_tree_reduction_equals_plain_merging(reference_bpe):
     tree = bpetree.TreeEncoder(P.path("byte_bpe_50k.tiktoken"))
     for text in [*random_texts(), "a" * 9000, "ab" * 5000, "=-" * 3000 + "x" * 999]:
