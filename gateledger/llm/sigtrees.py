@@ -20,6 +20,10 @@ threshold t.  The join is exact up to 64-bit shingle hashes:
    their members, which covers nearly every pair that shares a tree.  The other
    trees then list, without sets, the pairs that met in none of those and are
    not connected; the few that are left are verified in a join.
+5. Before any set is moved, trees lose the sets that can link with none there.  A
+   sketch has one bit per place, the parity of a set's shingles at it, so two sets
+   differ in at least as many shingles as their sketches do in bits.  Texts that
+   merely share a line or a phrase go here, for an eighth of a byte a shingle.
 
 Trees beyond ``block`` shingles or LEAVES sets are cut into blocks, and every two
 blocks of a tree are searched together, so a task's memory has a bound.
@@ -42,7 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gateledger.llm.common import dropped, few_files, settled, slices, slim, table
@@ -58,6 +62,7 @@ NAME_RANGES = 6  # of tree names
 SEARCH_RANGES = 4  # of trees searched with their sets
 TEXT_RANGES = 3  # of texts made sets of
 STRIPE = 256  # rows compared at a time
+FEW = 32  # sets of a tree that is compared side by side with others
 PIECE = 1 << 22  # bytes of a matrix that is made on the way
 WORD_LIMIT = 1_000_000
 
@@ -144,6 +149,85 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles at each place, with a place or two a shingle; a power of two of words."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    flags = np.bincount((shingles & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flags.astype(np.uint8), bitorder="little").view(U)
+
+
+class Sketches:
+    """Sketches of a block's sets, and which of these may link for a threshold ``num/den``."""
+
+    def __init__(self, rows: list[np.ndarray], sizes: np.ndarray, num: int, den: int):
+        self.sizes, self.most, self.all = sizes, den - num, den + num
+        self.words, self.row, self.grids = np.array([len(r) for r in rows]), np.zeros(len(rows), np.int64), {}
+        for words in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == words)
+            self.row[at], self.grids[words] = np.arange(len(at)), np.stack([rows[i] for i in at])
+
+    def folded(self, at: np.ndarray, words: int) -> np.ndarray:
+        """Shorter sketches of the same sets."""
+        out = np.empty((len(at), words), U)
+        for wide in np.unique(self.words[at]).tolist():
+            use = self.words[at] == wide
+            grid = self.grids[wide][self.row[at[use]]]
+            out[use] = np.bitwise_xor.reduce(grid.reshape(len(grid), -1, words), axis=1)
+        return out
+
+    def crossed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of some sets may link with which of others."""
+        out = np.zeros((len(a), len(b)), bool)
+        for wide in np.unique(self.words[a]).tolist():
+            for other in np.unique(self.words[b]).tolist():
+                i, j = np.flatnonzero(self.words[a] == wide), np.flatnonzero(self.words[b] == other)
+                words, apart = min(wide, other), np.zeros((len(i), len(j)), np.int32)
+                left, right = self.folded(a[i], words).T, np.ascontiguousarray(self.folded(b[j], words).T)
+                for k in range(words):
+                    apart += np.bitwise_count(left[k][:, None] ^ right[k][None, :])
+                both = self.sizes[a[i]][:, None] + self.sizes[b[j]][None, :]
+                out[np.ix_(i, j)] = apart * self.all <= self.most * both
+        return out
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs may link."""
+        out, least = np.zeros(len(i), bool), np.minimum(self.words[i], self.words[j])
+        for words in np.unique(least).tolist():
+            use = np.flatnonzero(least == words)
+            step = max(1, PIECE // (8 * words))
+            for at in range(0, len(use), step):
+                a, b = i[use[at:at + step]], j[use[at:at + step]]
+                apart = np.bitwise_count(self.folded(a, words) ^ self.folded(b, words)).sum(axis=1, dtype=np.int64)
+                out[use[at:at + step]] = apart * self.all <= self.most * (self.sizes[a] + self.sizes[b])
+        return out
+
+    def partnered(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which sets may link with one of the other side; the sides are the same or share none."""
+        found, passed = np.zeros(len(self.sizes), bool), []
+
+        def compare(here: np.ndarray, there: np.ndarray) -> None:
+            here, there = (x[np.argsort(self.sizes[x], kind="stable")] for x in (here, there))
+            sizes, step = self.sizes[there], max(1, min(STRIPE, PIECE // (8 * max(1, len(there)))))
+            den, num = self.all + self.most, self.all - self.most  # twice as large, in proportion
+            for at in range(0, len(here), step):
+                stripe = here[at:at + step]
+                # those that have a partner are not compared again
+                passed.append(stripe[found[stripe]])
+                stripe = stripe[~found[stripe]]
+                if not len(stripe):
+                    continue
+                low = np.searchsorted(den * sizes, num * self.sizes[stripe[0]])
+                high = np.searchsorted(num * sizes, den * self.sizes[stripe[-1]], "right")
+                near = self.crossed(stripe, there[low:high]) & (stripe[:, None] != there[low:high][None, :])
+                found[stripe] |= near.any(axis=1)
+                found[there[low:high]] |= near.any(axis=0)
+
+        compare(left, right)
+        if left is not right:
+            compare(right[~found[right]], np.concatenate(passed))
+        return found
+
+
 class Tree:
     """Leaves in an order that puts similar sets together, and the nodes above them.
 
@@ -271,8 +355,8 @@ def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Whole groups of sorted rows, however batches cut them; each group is bounded."""
+def whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in whole groups, however batches cut them, and where groups end; each group is bounded."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -280,11 +364,19 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         rows = pa.Table.from_batches([*held, batch]).combine_chunks()
         values = np.stack([rows.column(k).to_numpy() for k in keys])
         cuts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
-        for low, high in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
-            yield rows.slice(int(low), int(high - low))
+        if len(cuts):
+            yield rows.slice(0, int(cuts[-1])), cuts
         held = rows.slice(int(cuts[-1]) if len(cuts) else 0).to_batches()
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, np.array([rows.num_rows])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of sorted rows, one by one."""
+    for rows, ends in whole(batches, keys):
+        for low, high in zip([0, *ends[:-1]], ends, strict=True):
+            yield rows.slice(int(low), int(high - low))
 
 
 def edges_out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -325,6 +417,49 @@ def open_blocks(trees: DataFrame, block: int) -> DataFrame:
                 F.lit(None).cast("long").alias("rep"), F.lit(None).cast("binary").alias("shingles")))
 
 
+def with_partners(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (tree, rep, n) of sets that may link with another of their tree, by their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows_, ends in whole(batches, ["tree", "one", "two"]):
+            held = np.diff(ends, prepend=0)
+            found, group = np.zeros(rows_.num_rows, bool), np.repeat(np.arange(len(ends)), held)
+            # most trees are small, and those are compared side by side
+            few = np.flatnonzero((held[group] <= FEW) & (rows_.column("one").to_numpy() == rows_.column("two").to_numpy()))
+            if len(few):
+                found[few] = neighbours(block_of(rows_.take(few), num, den), group[few])
+            done = np.zeros(len(ends), bool)
+            done[group[few]] = True
+            for k in np.flatnonzero(~done):
+                low = ends[k] - held[k]
+                part = rows_.slice(int(low), int(held[k]))
+                left, right = sides(part)
+                if len(left) and len(right):
+                    found[low:ends[k]] = block_of(part, num, den).partnered(left, right)
+            if found.any():
+                yield from rows_.select(["tree", "rep", "n"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+    # a set may have partners in several blocks
+    return rows.mapInArrow(run, "tree long, rep long, n long").distinct()
+
+
+def neighbours(sketches: Sketches, group: np.ndarray) -> np.ndarray:
+    """Which sets may link with another of their group; groups are small and stand side by side."""
+    found = np.zeros(len(group), bool)
+    for k in range(1, FEW):
+        i = np.flatnonzero(group[k:] == group[:-k])
+        if not len(i):
+            break
+        i = i[sketches.may_link(i, i + k)]
+        found[i] = found[i + k] = True
+    return found
+
+
+def block_of(rows: pa.Table, num: int, den: int) -> Sketches:
+    column = rows.column("sketch").combine_chunks()
+    return Sketches([np.frombuffer(s.as_buffer(), U) for s in column], rows.column("n").to_numpy(), num, den)
+
+
 def join_trees(rows: DataFrame, num: int, den: int, marked: bool = False) -> DataFrame:
     """Edges that connect the linked sets of every two blocks, verified where they are found.
 
@@ -393,7 +528,7 @@ def meeting(stripe: np.ndarray, right: np.ndarray, owner: np.ndarray, place: np.
 
 
 def not_met(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a tree across components that met in no searched tree and fit by size."""
+    """Pairs of a tree across components that met in no searched tree and fit by size and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_ in grouped(batches, ["tree", "one", "two"]):
@@ -405,6 +540,7 @@ def not_met(rows: DataFrame, num: int, den: int) -> DataFrame:
             met = rows_.column("met").combine_chunks()
             place = met.values.slice(met.offsets[0].as_py(), met.offsets[-1].as_py() - met.offsets[0].as_py()).to_numpy()
             ends = met.offsets.to_numpy() - met.offsets[0].as_py()
+            sketches = block_of(rows_, num, den)
             owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
             for at in range(0, len(left), STRIPE):
                 stripe = left[at:at + STRIPE]
@@ -416,6 +552,8 @@ def not_met(rows: DataFrame, num: int, den: int) -> DataFrame:
                 if open_.any():
                     open_ &= ~meeting(stripe, right, owner, place)
                 i, j = np.nonzero(open_)
+                may = sketches.may_link(stripe[i], right[j])
+                i, j = i[may], j[may]
                 if len(i):
                     a, b = ids[stripe[i]], ids[right[j]]
                     yield pa.RecordBatch.from_arrays(
@@ -437,7 +575,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def routed(docs: DataFrame, num: int, den: int, shingle: int) -> DataFrame:
-    """Set size, digest and trees of each document."""
+    """Set size, digest, sketch and trees of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, router = Words(), Router(num, den)
@@ -447,10 +585,11 @@ def routed(docs: DataFrame, num: int, den: int, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([sketch(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                     pa.array([router.trees(s) for s in sets], pa.list_(pa.int64())),
-                ], ["doc_id", "n", "digest", "trees"])
+                ], ["doc_id", "n", "digest", "sketch", "trees"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, trees array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, trees array<long>")
 
 
 def shared_trees(rows: DataFrame) -> DataFrame:
@@ -514,16 +653,21 @@ def jaccard_components(
         parts.append(fresh_path(spark))
         part = settled(shared_trees(rows), parts[-1])
         shared = part if shared is None else shared.union(part)
+    sketches = own.select("doc_id", "digest", "sketch").join(leads, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    sketches = settled(sketches.select(F.col("doc_id").alias("rep"), "sketch"))
     dropped(spark, path)
 
-    # Of trees with the same sets one is enough.
-    sizes = shared.groupBy("tree").agg(
-        F.count("*").alias("held"), F.sum("n").alias("weight"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
-    single = sizes.groupBy("held", "weight", "mark").agg(F.min("tree").alias("tree")).select("tree", "held", "weight")
-    trees = settled(few_files(shared.join(single, "tree"), shared.count()))
-    n_rows = trees.count()
+    alike = settled(few_files(of_each(shared), shared.count()))
     for path in parts:
         dropped(spark, path)
+    left = None
+    for k in range(SEARCH_RANGES):
+        part = in_blocks(alike.where(in_range("tree", k)), block).join(sketches, "rep")
+        part = settled(with_partners(
+            together(part.select("tree", "one", "two", "part", "rep", "n", "sketch")), num, den))
+        left = part if left is None else left.union(part)
+    trees = settled(few_files(of_each(left), left.count()))
+    n_rows = trees.count()
 
     named = trees.groupBy("rep").agg(F.max(F.struct("held", "tree")).alias("home")).select("home.tree").distinct()
     searched = settled(few_files(trees.join(named, "tree").select("tree", "held", "weight", "rep"), n_rows))
@@ -542,13 +686,12 @@ def jaccard_components(
         if spent is not None:
             spent.append(path)
     for k in range(SEARCH_RANGES):
-        mine = lambda tree: F.pmod(F.xxhash64(tree, F.lit(2)), F.lit(SEARCH_RANGES)) == k  # noqa: B023, E731
-        part = sets.select("rep", "shingles", F.explode(F.filter("at", lambda t: mine(t["tree"]))).alias("t")).select(
+        part = sets.select("rep", "shingles", F.explode(F.filter("at", lambda t: in_range(t["tree"], k))).alias("t")).select(
             "t.tree", "t.held", "t.weight", "rep", "shingles")
         part = in_blocks(part, block).select("tree", "one", "two", "part", "rep", "shingles")
         if known is not None:
             # Sets are moved once: what is left to search comes to the blocks, not the sets to it.
-            part = part.union(open_blocks(apart(searched.where(mine(F.col("tree"))), known), block))
+            part = part.union(open_blocks(apart(searched.where(in_range("tree", k)), known), block))
         found = settled(join_trees(together(part), num, den, known is not None))
         known = settled(grown(known, found))
 
@@ -558,8 +701,8 @@ def jaccard_components(
     others = others.join(apart(others, known).select("tree"), "tree").join(known, "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
     left_over = settled(not_met(together(
-        in_blocks(others, block).join(met, "rep")
-        .select("tree", "one", "two", "part", "rep", "n", "component", "met")), num, den).distinct())
+        in_blocks(others, block).join(met, "rep").join(sketches, "rep")
+        .select("tree", "one", "two", "part", "rep", "n", "component", "met", "sketch")), num, den).distinct())
     # The sets of such pairs are few, and only those are moved to either side.
     ends = settled(few_files(
         left_over.select(F.col("a").alias("rep")).union(left_over.select("b")).distinct(), 2 * left_over.count()))
@@ -573,6 +716,19 @@ def jaccard_components(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def of_each(rows: DataFrame) -> DataFrame:
+    """Rows (tree, rep, n) with their tree's sets and shingles; of trees with the same sets one is enough."""
+    sizes = rows.groupBy("tree").agg(
+        F.count("*").alias("held"), F.sum("n").alias("weight"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    single = sizes.groupBy("held", "weight", "mark").agg(F.min("tree").alias("tree")).select("tree", "held", "weight")
+    return rows.join(single, "tree")
+
+
+def in_range(tree: Column | str, k: int) -> Column:
+    """Whether a tree is of the k-th range of those searched."""
+    return F.pmod(F.xxhash64(tree, F.lit(2)), F.lit(SEARCH_RANGES)) == k
+
+
 def grown(known: DataFrame | None, found: DataFrame) -> DataFrame:
     """Components (rep, component) after more links; those known count as one link for each set."""
     if known is not None:

@@ -224,6 +224,54 @@ def test_the_pipeline_leaves_no_sets_behind(spark, monkeypatch):
     assert len(gone) == 2 + sigtrees.NAME_RANGES + sigtrees.TEXT_RANGES and kept.count() > 0
 
 
+def test_texts_that_only_share_a_line_move_no_sets(spark, monkeypatch):
+    moved, settled = set(), sigtrees.settled
+
+    def watched(df, *rest):
+        out = settled(df, *rest)
+        if "shingles" in out.columns:
+            moved.update(r.rep for r in out.select("rep").collect())
+        return out
+
+    monkeypatch.setattr(sigtrees, "settled", watched)
+    rng = random.Random(12)
+    line = words(rng, 40)
+    texts = [(i, f"{words(rng, 60)} {line} {words(rng, 50)}") for i in range(60)]
+    texts += [(100 + i, texts[i][1] + " " + words(rng, 3)) for i in range(4)]
+    found = as_dict(sigtrees.jaccard_components(awkward(spark, texts)))
+    assert {d: (r.n_shingles, r.component_id) for d, r in found.items()} == brute_components(texts, 85, 100, 4)
+    assert moved == {0, 1, 2, 3, 100, 101, 102, 103}
+
+
+def test_sketches_name_every_link():
+    rng = np.random.default_rng(7)
+    for num, den in ((80, 100), (85, 100), (6, 10)):
+        sets = []
+        for _ in range(15):
+            base = rng.integers(0, 2**63, int(rng.integers(1, 300)), dtype=np.uint64)
+            for _ in range(int(rng.integers(1, 9))):
+                copy = base[:max(1, int(len(base) * rng.uniform(0.7, 1)))].copy()
+                at = rng.integers(0, len(copy), int(rng.integers(0, len(copy) // 4 + 1)))
+                copy[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+                sets.append(np.unique(copy))
+        sizes, n = np.array([len(s) for s in sets]), len(sets)
+        sketches = sigtrees.Sketches([sigtrees.sketch(s) for s in sets], sizes, num, den)
+        linked = np.array([[x != y and sigtrees.links(sets[x], sets[y], num, den) for y in range(n)] for x in range(n)])
+        may = sketches.crossed(np.arange(n), np.arange(n))
+        assert linked.any() and not (linked & ~may).any() and (num < 80 or may.sum() < n * n / 3)
+        i, j = np.nonzero(np.ones((n, n), bool))
+        assert (sketches.may_link(i, j).reshape(n, n) == may).all()
+        order = rng.permutation(n)
+        for left, right in ((order, order), (order[:n // 3], order[n // 3:])):
+            left, right = (left, left) if len(left) == n else (left, right)
+            across = np.zeros((n, n), bool)
+            across[np.ix_(left, right)] = across[np.ix_(right, left)] = True
+            found = sketches.partnered(left, right)
+            assert not ((linked & across).any(axis=1) & ~found).any()
+            np.fill_diagonal(across, False)
+            assert not (found & ~(may & across).any(axis=1)).any()
+
+
 def test_other_thresholds(spark):
     texts = near_copies(5, 90)
     found = as_dict(sigtrees.jaccard_components(awkward(spark, texts), num=6, den=10, shingle=2))
